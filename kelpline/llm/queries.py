@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kelpline.llm.minhash import near_duplicates
 from kelpline.llm.mixing import mix_sources
 from kelpline.llm.tokens import token_digests
+from kelpline.llm.warc import archive_records
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -31,6 +32,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_records(table(spark, sf_dir, "pages"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
@@ -47,5 +52,17 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.c AS component_id, s.
 FROM sets s JOIN (SELECT u, min(v) AS c FROM reach GROUP BY u) r ON r.u = s.doc_id
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op8_token_files": op8_token_files}
-ORACLES = {"op1_minhash_dedup": OP1_SQL}
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+k AS (SELECT h, max(page_id) AS keeper FROM d GROUP BY h),
+v AS (SELECT d.*, k.keeper, list_transform(range(0, 8), lambda g: CAST('0x' || substr(d.h, 5 * g + 1, 5) AS BIGINT)) AS q FROM d JOIN k ON k.h = d.h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((q[1 + i // 4] >> (15 - 5 * (i % 4))) & 31) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
+FROM v
+"""
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op8_token_files": op8_token_files, "op10_warc": op10_warc}
+ORACLES = {"op1_minhash_dedup": OP1_SQL, "op10_warc": OP10_SQL}
