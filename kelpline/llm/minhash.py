@@ -222,6 +222,7 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 75, shingle: int =
         if not pruned:
             a, b = (held.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
             pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_prune(limits), "a long, b long")
+            pairs = work.save(pairs, f"{name}-survivors")  # one Python worker a task at a time
         a, b = (held.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
         rows = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
         return work.save(rows.mapInArrow(_confirm(threshold_percent, shingle), "a long, b long"), name)

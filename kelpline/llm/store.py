@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Rows of an Arrow batch at most: batches hold whole texts, so their memory follows the longest ones.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +26,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        if int(spark.conf.get(BATCH_CONF)) not in range(1, BATCH_ROWS + 1):
+            spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
         self.root = f"{shared_dir(spark)}/kelpline/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
