@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,10 @@ from kelpline.llm.store import Workspace
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
 #: Text that is tokenized at a time, and distinct words a worker remembers.
-BLOCK_BYTES, KNOWN_WORDS = 1 << 22, 3 << 18
+BLOCK_BYTES, KNOWN_WORDS = 1 << 22, 5 << 16
+
+#: Words of printable ASCII and U+00C0 to U+00FF: NFC leaves them alone and lower-casing keeps their length in UTF-8.
+_PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\xbf])+")
 
 SEGMENT = "part int, seq int, start long, n_docs long, n_tokens long, data binary"
 
@@ -31,14 +37,33 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already fill the cores
         self.tokenizer = Tokenizer.from_file(path)
+        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.byte_lengths = np.zeros(max(pieces.values()) + 1, np.int64)
+        for piece, i in pieces.items():  # a character of a byte-level piece is a byte
+            self.byte_lengths[i] = len(piece.removesuffix("</w>"))
         self.place: dict[bytes, int] = {}
         self.firsts, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
 
-    def learn(self, words: list[bytes]) -> None:
+    def ids_of(self, words: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids of each word).
+
+        Plain words, whose bytes the normalizer keeps in number, go as one text: the byte lengths of the ids then say
+        where each word ends. Any others, and all if the lengths don't add up, go one by one.
+        """
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends, byte = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), np.cumsum(self.byte_lengths[ids])
+            last = np.searchsorted(byte, ends)
+            if len(byte) and byte[-1] == ends[-1] and (byte[last] == ends).all():
+                return ids, np.diff(last + 1, prepend=0)
         found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def learn(self, words: list[bytes], plain: bool) -> None:
+        flat, lengths = self.ids_of(words, plain)
         n = len(self.place)
         while n + len(words) + 1 > len(self.firsts):
             self.firsts = np.concatenate([self.firsts, np.zeros_like(self.firsts)])
@@ -52,13 +77,15 @@ class WordTokenizer:
     def encode(self, texts: list[bytes | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text), an end id after each text if one is given."""
         pieces = [t.split() if t else [] for t in texts]
-        flat = pa.array([w for p in pieces for w in p], pa.binary()).dictionary_encode()
+        flat = pa.array(chain.from_iterable(pieces), pa.binary()).dictionary_encode()
         words = flat.dictionary.to_pylist()
         new = [w for w in words if w not in self.place]
         used, passing = self.used, len(self.place) + len(new) > KNOWN_WORDS
-        if new:
-            self.learn(new)
-        at = np.fromiter((self.place[w] for w in words), np.int64, len(words))[flat.indices.to_numpy(zero_copy_only=False)]
+        odd = {w for w in new if not _PLAIN.fullmatch(w) or b"<|" in w}
+        for plain in (True, False):
+            if some := [w for w in new if (w not in odd) is plain] if odd else new * plain:
+                self.learn(some, plain)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[flat.indices.to_numpy(zero_copy_only=False)]
         starts, lengths = self.firsts[at], self.firsts[at + 1] - self.firsts[at]
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -75,6 +102,17 @@ class WordTokenizer:
         return ids, counts
 
 
+_OPEN: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The tokenizer of this Python worker, which keeps its words from task to task."""
+    if path not in _OPEN:
+        _OPEN.clear()
+        _OPEN[path] = WordTokenizer(path)
+    return _OPEN[path]
+
+
 def _write(path: str, end_id: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -82,7 +120,7 @@ def _write(path: str, end_id: int, limit: int):
         from kelpline.llm.words import blocks
 
         part, seq, start = TaskContext.get().partitionId(), 0, 0
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_of(path)
         docs: list = []
         counts: list[np.ndarray] = []
         held: list[np.ndarray] = []
