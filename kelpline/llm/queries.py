@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kelpline.llm.minhash import near_duplicates
 from kelpline.llm.mixing import mix_sources
+from kelpline.llm.store import Workspace
 from kelpline.llm.tokens import token_digests
+from kelpline.llm.toxicity import score_toxicity, train
 from kelpline.llm.warc import archive_records
 
 
@@ -28,6 +30,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    Workspace(spark, "toxicity")  # bounds the batches of texts
+    return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -64,5 +72,5 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM v
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op8_token_files": op8_token_files, "op10_warc": op10_warc}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op5_toxicity": op5_toxicity, "op8_token_files": op8_token_files, "op10_warc": op10_warc}
 ORACLES = {"op1_minhash_dedup": OP1_SQL, "op10_warc": OP10_SQL}

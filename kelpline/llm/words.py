@@ -75,3 +75,30 @@ def blocks(ids: list, texts: list, limit: int = 1 << 19):
             start, size = i + 1, 0
     if start < len(ids):
         yield ids[start:], texts[start:]
+
+
+#: Lower-cases A-Z and blanks the rest of ASCII that is neither letter nor digit; other bytes stay.
+_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
+
+
+def terms_of(text: bytes | None) -> list[bytes]:
+    """Words without case and ASCII punctuation, for matching beyond exact spelling."""
+    return text.translate(_LETTERS).split() if text else []
+
+
+class HashIndex:
+    """Places of many 64-bit hashes among a few sorted ones; a bit table turns most of them away first."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 18):
+        self.keys, self.shift = np.unique(keys), np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[(self.keys >> self.shift).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in hashes, places in keys) of the hashes that are keys."""
+        at = np.flatnonzero(self.table[(hashes >> self.shift).astype(np.int64)])
+        if not len(at) or not len(self.keys):
+            return at[:0], at[:0]
+        place = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
+        hit = self.keys[place] == hashes[at]
+        return at[hit], place[hit]
