@@ -19,7 +19,7 @@ from kelpline.llm.store import Workspace
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
 #: Text that is tokenized at a time, and distinct words a worker remembers.
-BLOCK_BYTES, KNOWN_WORDS = 1 << 22, 5 << 16
+BLOCK_BYTES, KNOWN_WORDS = 1 << 23, 1 << 19
 
 #: Words of printable ASCII and U+00C0 to U+00FF: NFC leaves them alone and lower-casing keeps their length in UTF-8.
 _PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\xbf])+")
@@ -165,11 +165,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, work: Workspace, end_id:
 
 
 def segment_starts(segments: DataFrame) -> DataFrame:
-    """The segments with `start` counted from the first token of all. Parts are as many as write tasks."""
+    """The segments with `start` counted from the first token of all.
+
+    The parts' totals are broadcast: they are two numbers for each write task, whatever the data.
+    """
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return segments.join(base, "part").withColumn("start", F.col("start") + F.col("base")).drop("base")
+    return segments.join(F.broadcast(base), "part").withColumn("start", F.col("start") + F.col("base")).drop("base")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
