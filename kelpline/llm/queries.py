@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kelpline.llm.decontaminate import contamination
 from kelpline.llm.minhash import near_duplicates
 from kelpline.llm.mixing import mix_sources
 from kelpline.llm.store import Workspace
@@ -44,6 +45,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_records(table(spark, sf_dir, "pages"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Workspace(spark, "contamination")  # bounds the batches of texts
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
@@ -72,5 +78,5 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM v
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op5_toxicity": op5_toxicity, "op8_token_files": op8_token_files, "op10_warc": op10_warc}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op5_toxicity": op5_toxicity, "op8_token_files": op8_token_files, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
 ORACLES = {"op1_minhash_dedup": OP1_SQL, "op10_warc": OP10_SQL}
