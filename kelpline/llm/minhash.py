@@ -8,8 +8,9 @@ the full sets, so no link is approximate; only banding and pruning can miss one,
 Banding: 32 bands of 4 rows propose a pair of similarity 0.75 with probability 1 - (1 - 0.75^4)^32 > 1 - 6e-6.
 
 Groups stay linear. Each bucket first links its members to its least node (a star). After those links have been
-confirmed and merged into components, only buckets that still hold several components are searched, all pairs of
-different components in them, in blocks of bounded size. No member of a bucket is dropped or capped.
+confirmed and merged into components, only buckets that still hold several components are searched: members outside
+the component of the bucket's least node meet all members of other components, in parts of bounded size. No member of
+a bucket is dropped or capped, and members of one component never meet again.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Hash comparisons per verification batch, and the posterior probability under which a pair is given up.
 BATCH, MISS = 16, 1e-6
-#: Expected rows of a bucket block in the search between components.
-BLOCK = 128
+#: Expected rows of either side of a bucket part in the search between components.
+BLOCK = 512
 
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _SEEDS[:HASHES], _SEEDS[HASHES:] | np.uint64(1)
@@ -156,19 +157,19 @@ def _confirm(percent: int, shingle: int):
 
 
 def _search_blocks(limits):
-    """Rows sorted by (key, lo, hi): bounded blocks of a bucket -> surviving pairs of different components."""
+    """Rows sorted by (key, block, chunk): bounded parts of a bucket -> surviving pairs of different components.
+
+    Rows of side 0 (outside the component of the bucket's least node) meet rows of side 1 (any); of two rows that
+    are both outside, the lesser node asks.
+    """
 
     def pairs(rows: list) -> list[tuple[int, int]]:
-        lo, hi = rows[0][1], rows[0][2]
-        nodes = np.array([r[3] for r in rows], np.int64)
-        parts = np.array([r[4] for r in rows], np.int64)
-        own = np.array([r[5] for r in rows], np.int64)
-        left = np.flatnonzero(own == lo)
-        right = np.flatnonzero(own == hi)
-        sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), HASHES)
+        side, nodes, parts, outside = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
+        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), HASHES)
+        right = np.flatnonzero(side == 1)
         out = []
-        for i in left:
-            with_ = right[(parts[right] != parts[i]) & ((nodes[right] > nodes[i]) if lo == hi else True)]
+        for i in np.flatnonzero(side == 0):
+            with_ = right[(parts[right] != parts[i]) & ((outside[right] == 0) | (nodes[right] > nodes[i]))]
             if len(with_):
                 live = with_[survive(np.broadcast_to(sig[i], (len(with_), HASHES)), sig[with_], limits)]
                 out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in live]
@@ -231,15 +232,18 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 75, shingle: int =
     links = confirmed(starred, "star-links", False)
     parts = connected_components(links, work, "parts")
 
-    labelled = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    open_ = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).filter("p < q")
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = labelled.join(open_.select("key", "n"), "key").select("key", "node", "part", n_blocks.alias("n"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "part", "own")
-    rows = rows.join(held.select("node", "sig").dropDuplicates(["node"]), "node").select("key", "lo", "hi", "node", "part", "own", "sig")
-    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    labelled = members.join(parts, "node", "left").select("key", "node", "least", F.coalesce("component", "node").alias("part"))
+    outside = F.col("part") != F.col("home")
+    open_ = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"), F.min_by("part", "node").alias("home")).filter("p < q")
+    rows = labelled.join(open_.select("key", "n", "home"), "key").select("key", "node", "part", outside.cast("int").alias("outside"), "n")
+    asking = rows.groupBy("key").agg(F.sum("outside").alias("asking"))
+    rows = rows.join(asking, "key").join(held.select("node", "sig").dropDuplicates(["node"]), "node")
+    chunks, blocks_ = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "asking"))
+    place = F.xxhash64("node", F.lit(1))
+    asks = rows.filter("outside = 1").withColumn("block", F.pmod(place, blocks_).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    asked = rows.withColumn("chunk", F.pmod(place, chunks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks_ - 1)))
+    asks, asked = (x.select("key", "block", "chunk", F.lit(side).alias("side"), "node", "part", "outside", "sig") for side, x in enumerate((asks, asked)))
+    rows = asks.union(asked).repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
     found = rows.mapInArrow(_search_blocks(limits), "a long, b long").distinct()
     more = confirmed(found, "cross-links", True)
     links = links.union(more).distinct()
