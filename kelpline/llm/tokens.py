@@ -10,6 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ class WordTokenizer:
         self.byte_lengths = np.zeros(max(pieces.values()) + 1, np.int64)
         for piece, i in pieces.items():  # a character of a byte-level piece is a byte
             self.byte_lengths[i] = len(piece.removesuffix("</w>"))
-        self.place: dict[bytes, int] = {}
+        self.known = pa.array([], pa.binary())  # word i has the ids flat[firsts[i] : firsts[i + 1]]
         self.firsts, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
 
     def ids_of(self, words: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -62,37 +63,44 @@ class WordTokenizer:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
-    def learn(self, words: list[bytes], plain: bool) -> None:
-        flat, lengths = self.ids_of(words, plain)
-        n = len(self.place)
+    def learn(self, words: list[bytes], n: int, used: int) -> int:
+        """Put the ids of words n, n + 1, ... into flat from `used` on; the end of what is used then."""
+        odd = [not _PLAIN.fullmatch(w) or b"<|" in w for w in words]
+        lengths, parts = np.zeros(len(words), np.int64), []
+        for plain in (True, False):
+            some = [i for i, o in enumerate(odd) if o is not plain]
+            if some:
+                ids, lengths[some] = self.ids_of([words[i] for i in some], plain)
+                parts.append((some, ids))
         while n + len(words) + 1 > len(self.firsts):
             self.firsts = np.concatenate([self.firsts, np.zeros_like(self.firsts)])
-        while self.used + len(flat) > len(self.flat):
+        end = used + int(lengths.sum())
+        while end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.firsts[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(lengths)
-        self.used += len(flat)
-        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+        starts = used + np.cumsum(lengths) - lengths
+        self.firsts[n : n + len(words)], self.firsts[n + len(words)] = starts, end
+        for some, ids in parts:
+            size = lengths[some]
+            self.flat[np.repeat(starts[some] - (np.cumsum(size) - size), size) + np.arange(len(ids))] = ids
+        return end
 
     def encode(self, texts: list[bytes | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text), an end id after each text if one is given."""
         pieces = [t.split() if t else [] for t in texts]
         flat = pa.array(chain.from_iterable(pieces), pa.binary()).dictionary_encode()
-        words = flat.dictionary.to_pylist()
-        new = [w for w in words if w not in self.place]
-        used, passing = self.used, len(self.place) + len(new) > KNOWN_WORDS
-        odd = {w for w in new if not _PLAIN.fullmatch(w) or b"<|" in w}
-        for plain in (True, False):
-            if some := [w for w in new if (w not in odd) is plain] if odd else new * plain:
-                self.learn(some, plain)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[flat.indices.to_numpy(zero_copy_only=False)]
+        place = pc.index_in(flat.dictionary, value_set=self.known)
+        unknown, n = pc.is_null(place), len(self.known)
+        place = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = flat.dictionary.filter(unknown)
+        if len(new):
+            place[unknown.to_numpy(zero_copy_only=False)] = np.arange(n, n + len(new))
+            end = self.learn(new.to_pylist(), n, self.used)
+            if n + len(new) <= KNOWN_WORDS:  # else memory is full, and these words are known for this block only
+                self.known, self.used = pa.concat_arrays([self.known, new]), end
+        at = place[flat.indices.to_numpy(zero_copy_only=False)]
         starts, lengths = self.firsts[at], self.firsts[at + 1] - self.firsts[at]
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        if passing:  # memory is full: these words are known for this block only
-            self.used = used
-            for w in new:
-                del self.place[w]
         last = np.cumsum([len(p) for p in pieces])
         total = np.concatenate([[0], ends])[last]
         counts = np.diff(total, prepend=0)
