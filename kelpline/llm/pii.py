@@ -44,6 +44,19 @@ PATTERNS = {
     "person": rf"(?<![\p{{L}}])(?:{_TITLES})\.?\x20\p{{Lu}}\p{{Ll}}{{1,30}}+(?:\x20\p{{Lu}}\p{{Ll}}{{1,30}}+)?+",
 }
 
+#: What a text must hold for a pattern to match at all, tested before it.
+GUARDS = {
+    "email": "contains(text, '@')",
+    "ip": "digits",
+    "card": "digits",
+    "phone": "contains(text, '+')",
+    "masked_email": "contains(text, '(') OR contains(text, '[')",
+    "local_phone": "digits",
+    "national_id": "digits",
+    "secret": "contains(text, '=') OR contains(text, ':')",
+    "person": "true",
+}
+
 # Gazetteers and context words: fixed values.
 TLDS = "com org net edu gov info biz io dev app de fr es it nl be ch at uk us eu ca au jp cn in br mx pl se no dk fi pt".split()
 COUNTRY_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 351 352 353 354 358 359 370 371 372 380 385 386 420 421 852 886 971 972".split()
@@ -67,7 +80,7 @@ def _spans(kind: str) -> str:
     pattern = PATTERNS[kind].replace("\\", "\\\\").replace("'", "\\'")
     k = KINDS.index(kind)
     empty = "cast(array() AS array<struct<kind:int,start:bigint,end:bigint,value:string,context:string>>)"
-    return f"""CASE WHEN regexp_like(text, '{pattern}') THEN
+    return f"""CASE WHEN ({GUARDS[kind]}) AND regexp_like(text, '{pattern}') THEN
       element_at(transform(array(named_struct('m', regexp_extract_all(text, '{pattern}', 0), 'p', split(text, '{pattern}', -1))), z ->
         aggregate(sequence(0, size(z.m) - 1), named_struct('at', 0L, 'out', {empty}), (s, i) -> named_struct(
           'at', s.at + char_length(z.p[i]) + char_length(z.m[i]),
@@ -143,7 +156,7 @@ def _votes() -> dict[str, str]:
 def candidates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, spans: array of (kind, start, end, votes...); one row per row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = rows.select("doc_id", *[F.expr(_spans(k)).alias(k) for k in KINDS])
+    found = rows.withColumn("digits", F.col("text").rlike("[0-9]")).select("doc_id", *[F.expr(_spans(k)).alias(k) for k in KINDS])
     for kind, test in _VALID.items():
         found = found.withColumn(kind, F.expr(f"filter({kind}, c -> {test})"))
     votes = ", ".join(f"'{n}', cast({sql} AS int)" for n, sql in _votes().items())
