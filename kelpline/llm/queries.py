@@ -9,6 +9,7 @@ from kelpline.llm.decontaminate import contamination
 from kelpline.llm.minhash import near_duplicates
 from kelpline.llm.mixing import mix_sources
 from kelpline.llm.pii import find_personal_data
+from kelpline.llm.sitetree import main_text
 from kelpline.llm.store import Workspace
 from kelpline.llm.tokens import token_digests
 from kelpline.llm.toxicity import score_toxicity, train
@@ -37,6 +38,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     Workspace(spark, "toxicity")  # bounds the batches of texts
@@ -89,5 +94,5 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM v
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_personal_data": op3_personal_data, "op5_toxicity": op5_toxicity, "op6_nearest_neighbours": op6_nearest_neighbours, "op8_token_files": op8_token_files, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_personal_data": op3_personal_data, "op4_main_text": op4_main_text, "op5_toxicity": op5_toxicity, "op6_nearest_neighbours": op6_nearest_neighbours, "op8_token_files": op8_token_files, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
 ORACLES = {"op1_minhash_dedup": OP1_SQL, "op10_warc": OP10_SQL}
