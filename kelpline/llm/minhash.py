@@ -28,31 +28,33 @@ from kelpline.llm.store import Workspace
 from kelpline.llm.words import SHINGLE, blocks, mix, shingle_sets
 
 BANDS, ROWS = 32, 4
-HASHES = BANDS * ROWS
+#: Min-hashes that are banded, and those whose low bytes the signature keeps (the banded ones first).
+HASHES, SIGNED_HASHES = BANDS * ROWS, 384
 #: Hash comparisons per verification batch, and the posterior probability under which a pair is given up.
-BATCH, MISS = 16, 1e-6
+BATCH, MISS = 16, 1e-4
 #: Expected rows of either side of a bucket part in the search between components.
 BLOCK = 512
 
-_SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_XOR, _MUL = _SEEDS[:HASHES], _SEEDS[HASHES:] | np.uint64(1)
+_SEEDS = mix(np.arange(1, 2 * SIGNED_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_XOR, _MUL = _SEEDS[:SIGNED_HASHES], _SEEDS[SIGNED_HASHES:] | np.uint64(1)
 _BAND = np.array([mix(np.array([b + 1], np.uint64))[0] for b in range(BANDS)], np.uint64)
 
 SIGNED = "doc_id long, n_shingles long, set_id binary, sig binary, bands array<long>"
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Low bytes of the min-hashes (n x HASHES) and the band keys (n x BANDS) of nonempty sets."""
+    """Low bytes of the min-hashes (n x SIGNED_HASHES) and the band keys (n x BANDS) of nonempty sets."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    mins = np.empty((len(sets), HASHES), np.uint64)
-    for k in range(HASHES):
+    mins = np.empty((len(sets), SIGNED_HASHES), np.uint64)
+    for k in range(SIGNED_HASHES):
         mins[:, k] = np.minimum.reduceat((flat ^ _XOR[k]) * _MUL[k], starts)
-    rows = mix(mins).reshape(len(sets), BANDS, ROWS)
+    mins = mix(mins)
+    rows = mins[:, :HASHES].reshape(len(sets), BANDS, ROWS)
     keys = np.broadcast_to(_BAND, rows.shape[:2]).copy()
     for r in range(ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
-    return (rows.reshape(len(sets), HASHES) & np.uint64(255)).astype(np.uint8), keys.view(np.int64)
+    return (mins & np.uint64(255)).astype(np.uint8), keys.view(np.int64)
 
 
 def _sign(shingle: int):
@@ -82,7 +84,7 @@ def _sign(shingle: int):
     return run
 
 
-def bounds(threshold: float, batch: int = BATCH, miss: float = MISS, hashes: int = HASHES) -> list[tuple[int, int]]:
+def bounds(threshold: float, batch: int = BATCH, miss: float = MISS, hashes: int = SIGNED_HASHES) -> list[tuple[int, int]]:
     """(compared, least agreements): with fewer, P(similarity >= threshold | agreements) < miss under a uniform prior.
 
     Only low bytes are kept, so unequal hashes agree once in 256: a similarity s shows as s + (1 - s) / 256.
@@ -115,7 +117,7 @@ def survive(a: np.ndarray, b: np.ndarray, limits: list[tuple[int, int]]) -> np.n
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SIGNED_HASHES)
 
 
 def _prune(limits):
@@ -160,34 +162,42 @@ def _search_blocks(limits):
     """Rows sorted by (key, block, chunk): bounded parts of a bucket -> surviving pairs of different components.
 
     Rows of side 0 (outside the component of the bucket's least node) meet rows of side 1 (any); of two rows that
-    are both outside, the lesser node asks.
+    are both outside, the lesser node asks. A pair that shares several buckets is compared in that of its first band.
     """
 
-    def pairs(rows: list) -> list[tuple[int, int]]:
-        side, nodes, parts, outside = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
-        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), HASHES)
+    def pairs(key: int, side, nodes, parts, outside, sig, bands) -> list[tuple[int, int]]:
         right = np.flatnonzero(side == 1)
         out = []
         for i in np.flatnonzero(side == 0):
             with_ = right[(parts[right] != parts[i]) & ((outside[right] == 0) | (nodes[right] > nodes[i]))]
             if len(with_):
-                live = with_[survive(np.broadcast_to(sig[i], (len(with_), HASHES)), sig[with_], limits)]
-                out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in live]
+                with_ = with_[bands[i][(bands[with_] == bands[i]).argmax(axis=1)] == key]
+            if len(with_):
+                live = with_[survive(np.broadcast_to(sig[i], (len(with_), SIGNED_HASHES)), sig[with_], limits)]
+                out += [(int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))) for j in live]
         return out
 
+    def pack(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
+        held = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            cols += [_matrix(batch.column(7)), batch.column(8).flatten().to_numpy().reshape(-1, BANDS)]
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+            new = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]])
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
             out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    out += pairs(held)
-                    held = []
-                held.append(row)
-            yield pa.record_batch([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        if held:
-            out = pairs(held)
-            yield pa.record_batch([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                out += pairs(cols[0][a], *(c[a:b] for c in cols[3:]))
+            held = [c[cuts[-1] :] for c in cols]
+            yield pack(out)
+        if held is not None:
+            yield pack(pairs(held[0][0], *held[3:]))
 
     return run
 
@@ -216,7 +226,7 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 75, shingle: int =
     members = work.save(banded.join(stars.select("key", "least"), "key"), "members")
 
     candidates = members.select("node").distinct()
-    signs = nodes.select("node", "sig").join(candidates, "node", "left_semi")
+    signs = nodes.select("node", "sig", "bands").join(candidates, "node", "left_semi")
     held = work.save(signs.join(texts.withColumnRenamed("doc_id", "node"), "node"), "candidates")
 
     def confirmed(pairs: DataFrame, name: str, pruned: bool) -> DataFrame:
@@ -237,12 +247,12 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 75, shingle: int =
     open_ = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"), F.min_by("part", "node").alias("home")).filter("p < q")
     rows = labelled.join(open_.select("key", "n", "home"), "key").select("key", "node", "part", outside.cast("int").alias("outside"), "n")
     asking = rows.groupBy("key").agg(F.sum("outside").alias("asking"))
-    rows = rows.join(asking, "key").join(held.select("node", "sig").dropDuplicates(["node"]), "node")
+    rows = rows.join(asking, "key").join(held.select("node", "sig", "bands").dropDuplicates(["node"]), "node")
     chunks, blocks_ = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "asking"))
     place = F.xxhash64("node", F.lit(1))
     asks = rows.filter("outside = 1").withColumn("block", F.pmod(place, blocks_).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
     asked = rows.withColumn("chunk", F.pmod(place, chunks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks_ - 1)))
-    asks, asked = (x.select("key", "block", "chunk", F.lit(side).alias("side"), "node", "part", "outside", "sig") for side, x in enumerate((asks, asked)))
+    asks, asked = (x.select("key", "block", "chunk", F.lit(side).alias("side"), "node", "part", "outside", "sig", "bands") for side, x in enumerate((asks, asked)))
     rows = asks.union(asked).repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
     found = rows.mapInArrow(_search_blocks(limits), "a long, b long").distinct()
     more = confirmed(found, "cross-links", True)
