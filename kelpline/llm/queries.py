@@ -14,6 +14,7 @@ from kelpline.llm.store import Workspace
 from kelpline.llm.tokens import token_digests
 from kelpline.llm.toxicity import score_toxicity, train
 from kelpline.llm.warc import archive_records
+from kelpline.llm.windows import repeated_passages
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -53,6 +54,10 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -94,5 +99,5 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM v
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_personal_data": op3_personal_data, "op4_main_text": op4_main_text, "op5_toxicity": op5_toxicity, "op6_nearest_neighbours": op6_nearest_neighbours, "op8_token_files": op8_token_files, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_personal_data": op3_personal_data, "op4_main_text": op4_main_text, "op5_toxicity": op5_toxicity, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_substring_dedup": op7_substring_dedup, "op8_token_files": op8_token_files, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
 ORACLES = {"op1_minhash_dedup": OP1_SQL, "op10_warc": OP10_SQL}
