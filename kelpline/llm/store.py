@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,11 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of a local run find this package wherever the driver found it; on a cluster it is installed or shipped."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (env.get("PYTHONPATH"), root) if p)
+
+
 class Workspace:
     """Tables of one run. They are plain Parquet, so a lost executor costs only a reread."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        importable(spark)
         if int(spark.conf.get(BATCH_CONF)) not in range(1, BATCH_ROWS + 1):
             spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
         self.root = f"{shared_dir(spark)}/kelpline/{name}-{uuid.uuid4().hex}"
