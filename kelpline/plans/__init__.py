@@ -1 +1,5 @@
-"""plans of kelpline."""
+"""Queries over the driver's tables, by family."""
+
+from kelpline.plans import retrieval
+
+FAMILIES = [retrieval.family]
