@@ -1,5 +1,5 @@
 """Queries over the driver's tables, by family."""
 
-from kelpline.plans import retrieval
+from kelpline.plans import graph, retrieval, telemetry
 
-FAMILIES = [retrieval.family]
+FAMILIES = [retrieval.family, telemetry.family, graph.family]
