@@ -10,7 +10,6 @@ text has under GRADE_CUTS[0], under GRADE_CUTS[1] or more occurrences of toxic t
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,15 +34,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class OrdinalModel:
-    """Terms, shared weights and increasing thresholds."""
+    """Terms (64-bit hashes, sorted), their weights, and increasing thresholds that share them."""
 
-    def __init__(self, terms: list[bytes], weights: np.ndarray, theta: np.ndarray, cut: float = 0.5):
-        self.cut, self.theta = cut, theta
-        keys = hash_words(terms)
-        self.index = HashIndex(keys)
-        self.weights = np.zeros(len(self.index.keys))
-        if len(keys):
-            self.weights[np.searchsorted(self.index.keys, keys)] = weights
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, theta: np.ndarray, cut: float = 0.5):
+        self.cut, self.theta, self.weights, self.index = cut, theta, weights, HashIndex(terms)
 
     def score(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(expected grade, P(grade >= 1), likeliest grade) of each text."""
@@ -82,31 +76,34 @@ def families(texts: list[bytes]) -> np.ndarray:
 def fit(rows: list[tuple[bytes | None, int]]) -> OrdinalModel:
     """(text, toxic) rows -> model. Repeated texts count once. Without both labels nothing is toxic."""
     rows = sorted({(t, y) for t, y in rows if t and y is not None})
-    words = [terms_of(t) for t, _ in rows]
     toxic = np.array([y != 0 for _, y in rows], bool)
     if not toxic.any() or toxic.all():
-        return OrdinalModel([], np.zeros(0), np.array([40.0]))
+        return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0]))
+    bags = [np.unique(hash_words(terms_of(t)), return_counts=True) for t, _ in rows]
+    doc = np.repeat(np.arange(len(rows)), [len(b[0]) for b in bags])
+    word, count = (np.concatenate([b[k] for b in bags]) for k in (0, 1))
     # Near copies of a text are one witness: what only they have in common says nothing about toxicity.
     family = families([t for t, _ in rows])
-    seen = {(f, y, w) for f, ws, y in zip(family, words, toxic.tolist(), strict=True) for w in ws}
-    inside, without = (Counter(w for _, y, w in seen if y is side) for side in (True, False))
-    del seen
     weight = 1 / np.bincount(family)[family]
+    sides = []
+    for side in (True, False):
+        own = toxic[doc] == side
+        _, one = np.unique(mix(word[own] ^ mix(family[doc[own]].astype(np.uint64))), return_index=True)
+        sides.append(np.unique(word[own][one], return_counts=True))
     # Terms tied to toxicity more often than chance would: a share among families, and a z score against the base rate.
     base = (weight * toxic).sum() / weight.sum()
-    scores = {}
-    for w, a in inside.items():
-        n = a + without[w]
-        if n >= LEAST_TEXTS and a / n >= LEAST_SHARE:
-            scores[w] = (a - n * base) / np.sqrt(n * base * (1 - base))
-    most = max(scores.values(), default=0)
-    terms = sorted((w for w in scores if scores[w] >= most / LEAST_SCORE), key=lambda w: (-scores[w], w))[:TERMS]
-    place = {w: j for j, w in enumerate(terms)}
-    support = np.array([sum(w in place for w in ws) for ws in words])
+    (inside, a), (without, c) = sides
+    at = np.minimum(np.searchsorted(without, inside), max(0, len(without) - 1))
+    n = a + np.where(without[at] == inside, c[at], 0)
+    score = (a - n * base) / np.sqrt(n * base * (1 - base))
+    fit_ = (n >= LEAST_TEXTS) & (a / n >= LEAST_SHARE)
+    fit_ &= score >= score[fit_].max(initial=0) / LEAST_SCORE
+    terms = np.sort(inside[fit_][np.lexsort((inside[fit_], -score[fit_]))][:TERMS])
+    place = np.minimum(np.searchsorted(terms, word), max(0, len(terms) - 1))
+    own = terms[place] == word if len(terms) else np.zeros(len(word), bool)
+    row, col, x = doc[own], place[own], np.log1p(count[own])
+    support = np.bincount(row, count[own], len(rows))
     grade = np.where(toxic, 1 + np.searchsorted(GRADE_CUTS, support, side="right"), 0)
-    entries = [(i, place[w], np.log1p(c)) for i, ws in enumerate(words) for w, c in sorted(Counter(w for w in ws if w in place).items())]
-    row, col = (np.array([e[k] for e in entries], np.int64) for k in (0, 1))
-    x = np.array([e[2] for e in entries])
     n_grades = int(grade.max()) + 1
 
     # theta_0, then gaps by their logs, so that thresholds stay in order; Adam on the mean log loss plus ridge.
