@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpline.llm.store import Workspace
+from kelpline.llm.store import Workspace, tidy
 
 #: Bounds of the fitted sample and of the centroids; vectors aimed at for a list, and held at a time.
 SAMPLE, CENTROIDS, LIST, CHUNK = 32768, 4096, 1024, 4096
@@ -133,6 +133,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _assign(index: ListIndex):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -146,6 +147,7 @@ def _assign(index: ListIndex):
 
 
 def _ask(index: ListIndex, counts: np.ndarray, chunks: np.ndarray, k: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
@@ -176,6 +178,7 @@ def top(ids: np.ndarray, v: np.ndarray, query: int, q: np.ndarray, k: int, near:
 def _meet(k: int):
     """Rows sorted by (list, chunk, side): a chunk's vectors come first and stay while its queries pass."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, ids, v = None, [], None, None
         for batch in batches:

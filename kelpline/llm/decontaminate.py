@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.llm.store import tidy
 from kelpline.llm.words import HashIndex, blocks, hash_words, mix, terms_of
 
 #: Word edits allowed, as a share of the item's words; items of fewer words than LEAST_WORDS can't contaminate.
@@ -206,6 +207,7 @@ def item_passes(benchmark: DataFrame, pass_words: int = PASS_WORDS) -> Iterator[
 
 
 def _search(index: ItemIndex):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), BLOCK_BYTES):
@@ -240,6 +242,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDIT
     for items in item_passes(benchmark, pass_words):
         index = ItemIndex(items, edits)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)

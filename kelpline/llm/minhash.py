@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.components import connected_components
-from kelpline.llm.store import Workspace
+from kelpline.llm.store import Workspace, tidy
 from kelpline.llm.words import SHINGLE, blocks, mix, shingle_sets
 
 BANDS, ROWS = 32, 4
@@ -60,6 +60,7 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _sign(shingle: int):
     import hashlib
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -121,6 +122,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _prune(limits):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -133,6 +135,7 @@ def _prune(limits):
 def _confirm(percent: int, shingle: int):
     """Rows (a, b, text_a, text_b) -> (a, b) with 100 * intersection >= percent * union on full sets."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[bytes, np.ndarray] = OrderedDict()
 
@@ -180,6 +183,7 @@ def _search_blocks(limits):
     def pack(out: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.html import PROSE, Block, blocks, key
-from kelpline.llm.store import Workspace
+from kelpline.llm.store import Workspace, tidy
 
 #: Least importance kept; weight of content per different child sequence; pages that a host needs for its own evidence.
 LEAST, GAMMA, FEW = 0.5, 0.9, 8
@@ -52,6 +52,7 @@ def _named(page: list[Block]) -> Iterator[tuple[Block, str, float]]:
         yield b, f"{within:d}{b.path}", prior
 
 
+@tidy
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -93,6 +94,7 @@ def _output(rows: list) -> pa.RecordBatch:
 
 
 def _extract(cut: frozenset):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -104,6 +106,7 @@ def _extract(cut: frozenset):
     return run
 
 
+@tidy
 def _extract_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -114,6 +117,7 @@ def _extract_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _output(rows)
 
 
+@tidy
 def _hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts = pa.array([key(host_of(u)) for u in batch.column(1).to_pylist()], pa.int64())

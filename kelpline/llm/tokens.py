@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.llm.dac import DacSegment, encode_segment
-from kelpline.llm.store import Workspace
+from kelpline.llm.store import Workspace, tidy
 
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
@@ -122,6 +122,7 @@ def tokenizer_of(path: str) -> WordTokenizer:
 
 
 def _write(path: str, end_id: int, limit: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -183,6 +184,7 @@ def segment_starts(segments: DataFrame) -> DataFrame:
     return segments.join(F.broadcast(base), "part").withColumn("start", F.col("start") + F.col("base")).drop("base")
 
 
+@tidy
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for base, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

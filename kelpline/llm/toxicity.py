@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.llm.store import tidy
 from kelpline.llm.words import HashIndex, blocks, hash_words, mix, shingle_sets, terms_of
 
 #: Rows that the labelled sample is drawn for, by hash of doc_id (never more than four times as many).
@@ -146,6 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ordinal
 
 
 def _score(model: OrdinalModel):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -171,6 +173,7 @@ def keep_civil(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """The rows of docs that the model doesn't call toxic, with all their columns, in one pass without a shuffle."""
     place = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(place).cast(pa.binary()).to_pylist()

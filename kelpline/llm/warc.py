@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.store import Workspace
+from kelpline.llm.store import Workspace, tidy
 
 #: Uncompressed bytes after which an archive is closed (a longer record has an archive of its own).
 ARCHIVE_BYTES = 1 << 23
@@ -122,6 +122,7 @@ def read_record(data: bytes, offset: int, length: int) -> tuple[dict[str, str],
 
 
 def _archives(limit: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -159,6 +160,7 @@ def write_archives(pages: DataFrame, work: Workspace, min_bytes: int = 0, archiv
     return work.save(rows.mapInArrow(_archives(archive_bytes), ARCHIVE), "monolithic", compression="uncompressed")
 
 
+@tidy
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string())]))
     for batch in batches:
@@ -172,6 +174,7 @@ def normalise_archives(archives: DataFrame, work: Workspace) -> DataFrame:
     return work.save(archives.select("archive", "data").mapInArrow(_normalise, NORMAL), "normal", compression="uncompressed")
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data, index in zip(batch.column(0), batch.column(1), strict=True):
