@@ -1,5 +1,5 @@
 """Queries over the driver's tables, by family."""
 
-from kelpline.plans import graph, index, retrieval, telemetry
+from kelpline.plans import graph, index, memory, retrieval, telemetry
 
-FAMILIES = [retrieval.family, telemetry.family, graph.family, index.family]
+FAMILIES = [retrieval.family, telemetry.family, graph.family, index.family, memory.family]
