@@ -165,7 +165,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 class SpanModel:
-    """Labeler reliabilities from EM, and the weights of the span classifier: logit = bias[kind] + sum weight[labeler][vote]."""
+    """P(+1 | class) of each labeler from EM, and the span classifier: logit = bias[kind] + sum weight[labeler][vote]."""
 
     def __init__(self, reliability, bias: list[float], weight: list[list[float]]):
         self.reliability, self.bias, self.weight = reliability, bias, weight
@@ -180,29 +180,33 @@ class SpanModel:
 def fit(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = ROUNDS) -> SpanModel:
     """(kind, votes, count) rows -> model. EM over the latent class, then gradient steps on its posteriors.
 
-    P(vote | class) starts at votes being right rather than wrong and is smoothed, so a labeler without votes, or a
-    table without spans, leaves the prior.
+    A labeler that abstains (0) says nothing; of one that votes, P(+1 | class) is estimated, starting from votes that
+    are right more often than wrong and smoothed towards that, so that a labeler without votes, or a table without
+    spans, leaves the prior.
     """
     n, kinds = len(LABELERS), len(KINDS)
-    rel = [[[0.5, 0.3, 0.2] if y == 0 else [0.1, 0.3, 0.6] for y in (0, 1)] for _ in range(n)]
-    prior = [0.5] * kinds
-    post = [0.5] * len(patterns)
+    start = (0.25, 0.8)  # P(+1 | not personal), P(+1 | personal)
+    rel = [list(start) for _ in range(n)]
+    prior, post = [0.5] * kinds, [0.5] * len(patterns)
+    total = sum(c for *_, c in patterns) or 1
     for _ in range(rounds):
         for i, (kind, votes, _) in enumerate(patterns):
-            one = math.log(prior[kind]) + sum(math.log(rel[j][1][v + 1]) for j, v in enumerate(votes))
-            none = math.log(1 - prior[kind]) + sum(math.log(rel[j][0][v + 1]) for j, v in enumerate(votes))
-            post[i] = 1 / (1 + math.exp(min(50.0, max(-50.0, none - one))))
-        total = sum(c for *_, c in patterns) or 1
-        sums = [[[1e-2 * total * p + 1 for p in ([0.5, 0.3, 0.2] if y == 0 else [0.1, 0.3, 0.6])] for y in (0, 1)] for _ in range(n)]
+            odds = math.log(prior[kind] / (1 - prior[kind]))
+            for (p0, p1), v in zip(rel, votes, strict=True):
+                odds += math.log(p1 / p0) if v > 0 else math.log((1 - p1) / (1 - p0)) if v < 0 else 0.0
+            post[i] = 1 / (1 + math.exp(min(50.0, max(-50.0, -odds))))
+        size = 1 + 1e-2 * total
+        sums = [[[p * size, size] for p in start] for _ in range(n)]
         share = [[1.0, 2.0] for _ in range(kinds)]
         for (kind, votes, c), p in zip(patterns, post, strict=True):
             share[kind][0] += c * p
             share[kind][1] += c
             for j, v in enumerate(votes):
-                sums[j][1][v + 1] += c * p
-                sums[j][0][v + 1] += c * (1 - p)
+                for y, q in ((0, 1 - p), (1, p)):
+                    sums[j][y][0] += c * q * (v > 0)
+                    sums[j][y][1] += c * q * (v != 0)
         prior = [min(0.95, max(0.05, a / b)) for a, b in share]
-        rel = [[[x / sum(row) for x in row] for row in labeler] for labeler in sums]
+        rel = [[a / b for a, b in labeler] for labeler in sums]
     bias, weight = [0.0] * kinds, [[0.0] * 3 for _ in range(n)]
     size = [sum(c for k, _, c in patterns if k == kind) or 1 for kind in range(kinds)]
     for _ in range(400):
@@ -212,7 +216,7 @@ def fit(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = ROUNDS)
             g = (1 / (1 + math.exp(-max(-50.0, min(50.0, z)))) - p) * c / size[kind]  # each kind weighs the same
             db[kind] += g
             for j, v in enumerate(votes):
-                dw[j][v + 1] += g / kinds
+                dw[j][v + 1] += g / kinds * (v != 0)
         bias = [b - 0.5 * g for b, g in zip(bias, db, strict=True)]
         weight = [[x - 0.5 * g for x, g in zip(a, b, strict=True)] for a, b in zip(weight, dw, strict=True)]
     return SpanModel(rel, bias, weight)
