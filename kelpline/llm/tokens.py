@@ -149,12 +149,16 @@ def _write(path: str, end_id: int, limit: int):
         for batch in batches:
             for ids, texts in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), BLOCK_BYTES):
                 found, n = tokenizer.encode(texts, end_id)
-                docs += ids
-                counts.append(n)
-                held.append(found)
-                size += len(found)
-                if size >= limit:
-                    yield flush()
+                ends, at, done = np.cumsum(n), 0, 0
+                while at < len(ids):  # whole documents until the segment is full
+                    to = min(len(ids), int(np.searchsorted(ends, done + limit - size)) + 1)
+                    docs += ids[at:to]
+                    counts.append(n[at:to])
+                    held.append(found[done : ends[to - 1]])
+                    size += int(ends[to - 1]) - done
+                    at, done = to, int(ends[to - 1])
+                    if size >= limit:
+                        yield flush()
         if docs:
             yield flush()
 
