@@ -13,3 +13,23 @@ def consumers(routes: DataFrame, files: DataFrame, pattern: str = r"""fetch\(\s*
     """
     calls = files.select(F.col("path").alias("consumer"), F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(1))).alias("route")).distinct()
     return calls.join(routes, "route").filter("consumer <> file_path").select("route", "consumer")
+
+
+def route_of(path):
+    """The API route that a file's path declares, or null."""
+    app = F.regexp_extract(path, r"(?:^|/)app/api/(.+)/route\.[cm]?[tj]sx?$", 1)
+    page = F.regexp_replace(F.regexp_extract(path, r"(?:^|/)pages/api/(.+)\.[cm]?[tj]sx?$", 1), "/index$", "")
+    return F.when(app != "", F.concat(F.lit("/api/"), app)).when(page != "", F.concat(F.lit("/api/"), page))
+
+
+def response_keys(text):
+    """Keys of the flat object literals that are passed to json(...), sorted."""
+    bodies = F.regexp_extract_all(text, F.lit(r"\bjson\s*\(\s*\{([^{}]*)\}"), F.lit(1))
+    keys = F.flatten(F.transform(bodies, lambda b: F.regexp_extract_all(b, F.lit(r"(?:^|[,{\s])([A-Za-z_$][A-Za-z0-9_$]*)\s*:"), F.lit(1))))
+    return F.array_sort(F.array_distinct(keys))
+
+
+def barrel(path):
+    """Whether a file only gathers others' exports, by its name."""
+    low = F.lower(path)
+    return low.endswith("/__init__.py") | low.endswith("/mod.rs") | F.regexp_like(low, F.lit(r"/index\.(?:ts|tsx|js|jsx|mts|mjs|cts|cjs)$"))

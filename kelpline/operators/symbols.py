@@ -67,3 +67,33 @@ def extract(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return files.select("path", "language", "content").mapInPandas(run, SCHEMA)
+
+
+def python_chunks(path: str, source: str, budget: int) -> list[tuple]:
+    """Line ranges of a Python source that cover it: whole top-level statements up to `budget` solid characters."""
+    lines = source.split("\n")
+    try:
+        starts = sorted({min([n.lineno, *[d.lineno for d in getattr(n, "decorator_list", [])]]) for n in ast.parse(source).body})
+    except (SyntaxError, ValueError, RecursionError):
+        starts = []
+    cuts = [1, *[s for s in starts if s > 1], len(lines) + 1]
+    out, first, size = [], 1, 0
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        solid = sum(len("".join(x.split())) for x in lines[a - 1 : b - 1])
+        if a > first and size + solid > budget:
+            out.append((path, len(out), first, a - 1))
+            first, size = a, 0
+        size += solid
+    out.append((path, len(out), first, len(lines)))
+    return out
+
+
+def chunk_python(files: DataFrame, budget: int = 500) -> DataFrame:
+    """files(path, content) -> path, chunk_index, start_line, end_line."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [r for p, c in zip(pdf.path, pdf.content, strict=True) for r in python_chunks(p, c or "", budget)]
+            yield pd.DataFrame(rows, columns=["path", "chunk_index", "start_line", "end_line"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, chunk_index int, start_line int, end_line int")

@@ -1,5 +1,5 @@
 """Queries over the driver's tables, by family."""
 
-from kelpline.plans import graph, index, memory, retrieval, search, telemetry
+from kelpline.plans import extras, graph, index, memory, retrieval, search, telemetry
 
-FAMILIES = [retrieval.family, telemetry.family, graph.family, index.family, memory.family, search.family]
+FAMILIES = [retrieval.family, telemetry.family, graph.family, index.family, memory.family, search.family, extras.family]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from kelpline.operators import imports as R
 from kelpline.plans import retrieval as Q
 from kelpline.plans.registry import Family
 from kelpline.sources import fixtures as X
+from kelpline.sources.store import shared_path
 from kelpline.streaming import events as E
 
 family = Family()
@@ -256,7 +255,6 @@ def st9(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = X.load(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
     rows = stream.select("ts", F.col("value").alias("duration_ms"), F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='kelpline-stream-')}"
     name = f"daily_{abs(hash(sf_dir)) % 10**8}"
-    E.run_once(E.daily_stream(rows), name, "complete", f"{base}/kelpline/{name}-{spark.sparkContext.applicationId}-{id(rows)}")
+    E.run_once(E.daily_stream(rows), name, "complete", shared_path(spark, name))
     return spark.table(name)
