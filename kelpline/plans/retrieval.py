@@ -256,7 +256,7 @@ TERMS = "terms AS (SELECT item_id AS query_id, list_distinct(" + _TOK.format("te
 @family.add(
     "r7_token_overlap",
     rf"""WITH {X.FILES}, {TERMS}, {_bm25_sql("files", "path", "content")}, {_two_phase_sql("path", 20)}
-SELECT r.query_id, r.path, list_sum(list_transform(t.terms, lambda x: CASE WHEN NOT contains(lower(f.content), x) THEN 0.0 WHEN list_contains({_TOK.format("f.content")}, x) THEN 1.0 ELSE 0.5 END)) AS overlap FROM ranked r JOIN files f ON f.path = r.path JOIN terms t ON t.query_id = r.query_id""",
+SELECT r.query_id, r.path, list_sum(list_transform(t.terms, lambda x: CASE WHEN NOT contains(lower(f.content), x) THEN 0.0::DOUBLE WHEN list_contains({_TOK.format("f.content")}, x) THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END)) AS overlap FROM ranked r JOIN files f ON f.path = r.path JOIN terms t ON t.query_id = r.query_id""",
 )
 def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = X.queries(spark, sf_dir).select("query_id", F.array_distinct(T.tokens(F.col("query"))).alias("terms"))
@@ -267,7 +267,7 @@ def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @family.add(
     "r6_file_hit_chunk_selection",
     rf"""WITH {X.CHUNKS}, {TERMS}, {_bm25_sql("files", "path", "content")}, {_two_phase_sql("path", 20)},
-o AS (SELECT r.query_id, r.path, r.score, r.rank, c.chunk_index, list_sum(list_transform(t.terms, lambda x: CASE WHEN NOT contains(lower(c.code), x) THEN 0.0 WHEN list_contains({_TOK.format("c.code")}, x) THEN 1.0 ELSE 0.5 END)) AS overlap
+o AS (SELECT r.query_id, r.path, r.score, r.rank, c.chunk_index, list_sum(list_transform(t.terms, lambda x: CASE WHEN NOT contains(lower(c.code), x) THEN 0.0::DOUBLE WHEN list_contains({_TOK.format("c.code")}, x) THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END)) AS overlap
   FROM ranked r JOIN chunks c ON c.path = r.path JOIN terms t ON t.query_id = r.query_id),
 p AS (SELECT *, round(score * (1 + 0.5 * overlap), 9) AS chunk_score FROM o WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY overlap DESC, chunk_index) <= 2)
 SELECT query_id, path, chunk_index, overlap, chunk_score FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, overlap DESC, chunk_index) <= 40""",
