@@ -20,7 +20,7 @@ from kelpline.llm.store import Workspace, tidy
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
 #: Text that is tokenized at a time, and distinct words a worker remembers.
-BLOCK_BYTES, KNOWN_WORDS = 1 << 21, 3 << 17
+BLOCK_BYTES, KNOWN_WORDS = 3 << 20, 1 << 19
 
 #: Words of printable ASCII and U+00C0 to U+00FF: NFC leaves them alone and lower-casing keeps their length in UTF-8.
 _PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\xbf])+")
