@@ -163,15 +163,21 @@ def _ask(index: ListIndex, counts: np.ndarray, chunks: np.ndarray, k: int):
 
 
 def top(ids: np.ndarray, v: np.ndarray, query: int, q: np.ndarray, k: int, near: np.ndarray) -> list[tuple[int, int, float]]:
-    """The k best of a chunk for one query, by exact score, then id; near holds its scores up to rounding."""
+    """The k best ids of a chunk for one query, by exact score, then id; near holds its scores up to rounding.
+
+    Rows that share an id lie side by side and count as its best one.
+    """
     near = np.where(ids == query, -np.inf, near)
-    if len(near) > k:
-        at = np.flatnonzero(near >= np.partition(near, -k)[-k] - 1e-9)
+    new = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    best = near if len(new) == len(ids) else np.maximum.reduceat(near, new)
+    if len(best) > k:
+        at = np.flatnonzero(near >= np.partition(best, -k)[-k] - 1e-9)
     else:
         at = np.arange(len(near))
     at = at[ids[at] != query]
     score = (v[at] * q).sum(axis=1) / (np.sqrt((v[at] * v[at]).sum(axis=1)) * np.sqrt((q * q).sum()))
-    order = np.lexsort((ids[at], -score))[:k]
+    order = np.lexsort((ids[at], -score))
+    order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])[:k]]
     return [(query, int(ids[at][j]), float(score[j])) for j in order]
 
 
@@ -195,6 +201,8 @@ def _meet(k: int):
                     continue
                 if ids is None and held:
                     ids, v = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    order = np.argsort(ids, kind="stable")
+                    ids, v = ids[order], v[order]
                     unit = _unit(v)
                     held = []
                 if ids is not None:
@@ -224,7 +232,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, n_lists: int | N
         finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return rows.filter(finite).filter(F.exists("v", lambda x: x != 0))
 
-    base, asks = clean(vectors), clean(queries)
+    base, asks = clean(vectors).distinct(), clean(queries)
     found = None
     for size, n in sorted(base.groupBy(F.size("v")).count().collect()):
         rows, ask = base.filter(F.size("v") == size), asks.filter(F.size("v") == size)
@@ -235,7 +243,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, n_lists: int | N
         index = ListIndex(np.array([r.v for r in taken or rows.select("v").limit(SAMPLE).collect()], np.float64), lists, k)
 
         postings = work.save(rows.mapInArrow(_assign(index), "list int, vec_id long, v array<double>, primary long"), f"postings-{size}")
-        sizes = {r["list"]: r for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.sum("primary").alias("p")).collect()}
+        sizes = {r["list"]: r for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("primary") == 1, F.col("vec_id"))).alias("p")).collect()}
         place = range(len(index.centroids))
         chunks = np.array([-(-sizes[c].n // CHUNK) if c in sizes else 0 for c in place])
         counts = np.array([sizes[c].p if c in sizes else 0 for c in place])

@@ -48,3 +48,15 @@ def test_graph_search_finds_the_nearest_list():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     order, _ = index.search(x, beam=32)
     assert (order[:, 0] == (x @ index.centroids.T).argmax(axis=1)).mean() >= 0.95
+
+
+def test_repeated_rows_do_not_crowd_out_other_ids(spark):
+    """The nearest row k times over, and an id with k versions that are all near, among many candidates."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    near = (x[0] + 0.01 * rng.normal(size=(6, 8))).astype(np.float32)
+    rows = [(i, x[i].tolist(), 0, 0) for i in range(300)]
+    rows += [(1000, near[0].tolist(), 0, 0)] * 5 + [(1001, v.tolist(), 0, 0) for v in near[1:]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [r.vec_id for r in sorted(nearest(df, df.filter("vec_id = 0"), 5, n_lists=1).collect(), key=lambda r: r.rank)]
+    assert set(got[:2]) == {1000, 1001} and got[2:] == brute(x, np.arange(300), 0, 3)
