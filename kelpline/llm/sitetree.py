@@ -5,7 +5,8 @@ importance is the entropy of its texts over the host's pages, relative to the mo
 repeats has none, text that is new on every page has all. An element's presentation importance is likewise the entropy
 of its child sequences. A branch counts g^l of its content and 1 - g^l of its parent's presentation, l being the
 parent's different child sequences, plus what its markup says outright (an article's prose, a menu, an advert). Branches
-of low importance are cut from every page of the host.
+of low importance are cut from every page of the host. Copies of a page (equal branches and texts) count as one, and a
+page that would lose all its text keeps its most important branch that no markup calls boilerplate.
 
 The tree is a distributed table of (host, path, value) counts. A hot host is just more values: nothing gathers its pages.
 """
@@ -26,10 +27,12 @@ from kelpline.llm.store import Workspace, tidy
 LEAST, GAMMA, FEW = 0.5, 0.9, 8
 #: What markup adds to a branch: explicit boilerplate, prose within main content, and text outside a page's main content.
 NOISE, PROSE_WITHIN, OUTSIDE = -2.0, 0.5, -0.6
-#: Cut branches that a task may hold as a set (16 bytes each); beyond that they are joined to the pages by host.
+#: Cut branches that a task may hold as a dict (some 200 bytes each); beyond that they are joined to the pages by host.
 HELD = 1 << 18
+#: Stands for the importance of a branch that is not cut.
+KEPT = float("inf")
 
-SEEN = "host long, path long, parent long, prior double, value long"
+SEEN = "host long, path long, parent long, prior double, value long, page long"
 
 
 def host_of(url: str | None) -> str:
@@ -59,20 +62,22 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             host, seen = key(host_of(url)), set()
             page, children = blocks(source)
-            for b, name, prior in _named(page):
-                seen.add((host, key(name), key("e", b.parent), prior, key(b.text)))
+            named = list(_named(page))
+            whole = key(*(x for b, name, _ in named for x in (name, b.text)))
+            for b, name, prior in named:
+                seen.add((host, key(name), key("e", b.parent), prior, key(b.text), whole))
             for path, runs in children.items():
-                seen.add((host, key("e", path), None, None, key(*runs)))
+                seen.add((host, key("e", path), None, None, key(*runs), whole))
             rows += seen
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "path", "parent", "prior", "value"])
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "path", "parent", "prior", "value", "page"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """pages(url, html, ...) -> host, path, importance of every text branch of every host (64-bit keys)."""
     seen = pages.select("url", "html").mapInArrow(_observe, SEEN)
-    values = seen.groupBy("host", "path", "value").agg(F.count("*").alias("n"), F.min("parent").alias("parent"), F.min("prior").alias("prior"))
+    values = seen.groupBy("host", "path", "value").agg(F.count_distinct("page").alias("n"), F.min("parent").alias("parent"), F.min("prior").alias("prior"))
     n = F.sum("n")
     entropy = F.when(n > 1, (F.log(n) - F.sum(F.col("n") * F.log("n")) / n) / F.log(n)).otherwise(1.0)
     nodes = values.groupBy("host", "path").agg(n.alias("pages"), entropy.alias("entropy"), F.count("*").alias("kinds"), F.min("parent").alias("parent"), F.min("prior").alias("prior"))
@@ -83,8 +88,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return joined.select("host", "path", (own + F.col("prior")).alias("importance"), "pages")
 
 
-def _text(page: list[Block], host: int, cut) -> str:
-    return "\n\n".join(b.text for b, name, _ in _named(page) if (host, key(name)) not in cut)
+def _text(page: list[Block], host: int, cut: dict[tuple[int, int], float]) -> str:
+    named = [(b.text, cut.get((host, key(name)), KEPT), prior) for b, name, prior in _named(page)]
+    kept = [text for text, importance, _ in named if importance == KEPT]
+    if not kept:
+        best = max((importance for _, importance, prior in named if prior >= 0), default=None)
+        kept = [text for text, importance, prior in named if prior >= 0 and importance == best]
+    return "\n\n".join(kept)
 
 
 def _output(rows: list) -> pa.RecordBatch:
@@ -93,7 +103,7 @@ def _output(rows: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["page_id", "url", "text", "n_chars"])
 
 
-def _extract(cut: frozenset):
+def _extract(cut: dict[tuple[int, int], float]):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +122,7 @@ def _extract_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         rows = []
         for page_id, url, source, paths in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
             host = key(host_of(url))
-            text = _text(blocks(source)[0], host, {(host, p) for p in paths or ()})
+            text = _text(blocks(source)[0], host, {(host, p["path"]): p["importance"] for p in paths or ()})
             rows.append((page_id, url, text, len(text)))
         yield _output(rows)
 
@@ -135,11 +145,11 @@ def main_text(pages: DataFrame, least: float = LEAST, held: int = HELD, work: Wo
     work = work or Workspace(pages.sparkSession, "sitetree")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     tree = work.save(style_tree(rows), "tree")
-    low = tree.filter(F.col("importance") < least).select("host", "path")
+    low = tree.filter(F.col("importance") < least).select("host", "path", "importance")
     out = "page_id long, url string, text string, n_chars long"
     if low.count() <= held:
-        return rows.mapInArrow(_extract(frozenset((r.host, r.path) for r in low.collect())), out)
+        return rows.mapInArrow(_extract({(r.host, r.path): r.importance for r in low.collect()}), out)
     # As many cut branches as a host's pages have between them; every page gets those of its host.
-    per_host = low.groupBy("host").agg(F.collect_set("path").alias("paths"))
+    per_host = low.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("paths"))
     keyed = rows.mapInArrow(_hosts, "page_id long, url string, html string, host long")
     return keyed.join(per_host, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(_extract_joined, out)

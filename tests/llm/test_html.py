@@ -38,3 +38,15 @@ def test_odd_rows(spark):
 def test_entities_and_unclosed_elements():
     page, _ = blocks("<p>a<p>b<table><tr><td>c<td>d<tr><td>e</table><!-- x --><pre>  f\n g </pre>tail")
     assert [b.text for b in page] == ["a", "b", "c d", "e", "f g", "tail"]
+
+
+def test_copies_of_a_page_do_not_cut_the_bodies_of_others(spark):
+    """900 copies of one page and 100 others on a host, without names; and a host whose pages differ in a branch of their own only."""
+    page = "<div><div>Always the same menu</div><section><div>Body {0} of a page</div></section></div>"
+    rows = [(i, "http://h.org/x", page.format(min(i, 100))) for i in range(1000)]
+    rows += [(2000 + i, "http://k.org/x", f"<div><p>Same body</p></div><nav>Menu {i}</nav>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in main_text(pages).collect()}
+    assert all(got[i] == f"Body {min(i, 100)} of a page" for i in range(1000))
+    assert all(got[2000 + i] == "Same body" for i in range(20))
+    assert {x.page_id: x.text for x in main_text(pages, held=0).collect()} == got
