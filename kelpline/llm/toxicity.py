@@ -22,8 +22,8 @@ from kelpline.llm.words import HashIndex, blocks, hash_words, mix, shingle_sets,
 
 #: Rows that the labelled sample is drawn for, by hash of doc_id (never more than four times as many).
 TRAIN_ROWS = 8000
-#: Terms kept, texts that a term must be in, its least share of toxic ones among them, and how far its score may be under the best.
-TERMS, LEAST_TEXTS, LEAST_SHARE, LEAST_SCORE = 2048, 4, 0.5, 2.5
+#: Terms kept, texts that a term must be in, its least share of toxic ones among them, and how many terms may pass by chance.
+TERMS, LEAST_TEXTS, LEAST_SHARE, CHANCE = 2048, 4, 0.5, 0.01
 GRADE_CUTS = (4, 8)
 RIDGE, STEPS = 0.05, 400
 
@@ -91,14 +91,17 @@ def fit(rows: list[tuple[bytes | None, int]]) -> OrdinalModel:
         own = toxic[doc] == side
         _, one = np.unique(mix(word[own] ^ mix(family[doc[own]].astype(np.uint64))), return_index=True)
         sides.append(np.unique(word[own][one], return_counts=True))
-    # Terms tied to toxicity more often than chance would: a share among families, and a z score against the base rate.
+    # Terms tied to toxicity more often than chance would: a share among families, and a bound on the
+    # chance of so many toxic ones at the base rate (Chernoff), over all terms tried. How common the term is says nothing.
     base = (weight * toxic).sum() / weight.sum()
     (inside, a), (without, c) = sides
     at = np.minimum(np.searchsorted(without, inside), max(0, len(without) - 1))
     n = a + np.where(without[at] == inside, c[at], 0)
     score = (a - n * base) / np.sqrt(n * base * (1 - base))
     fit_ = (n >= LEAST_TEXTS) & (a / n >= LEAST_SHARE)
-    fit_ &= score >= score[fit_].max(initial=0) / LEAST_SCORE
+    share = a / n
+    surprise = n * (share * np.log(share / base) + (1 - share) * np.log(np.maximum(1 - share, 1e-12) / (1 - base)))
+    fit_ &= (share > base) & (surprise >= np.log(max(1, (n >= LEAST_TEXTS).sum()) / CHANCE))
     terms = np.sort(inside[fit_][np.lexsort((inside[fit_], -score[fit_]))][:TERMS])
     place = np.minimum(np.searchsorted(terms, word), max(0, len(terms) - 1))
     own = terms[place] == word if len(terms) else np.zeros(len(word), bool)

@@ -54,3 +54,22 @@ def test_training_from_tables(spark, odd_docs, no_docs):
     assert score_toxicity(no_docs, model).collect() == []
     blank = train(docs, labels.limit(0))
     assert not any(x.toxic for x in score_toxicity(docs, blank).collect())
+
+
+def test_rare_toxic_terms_count_beside_common_ones():
+    """Toxic terms by Zipf's law: documents that are toxic only by a rare term are found."""
+    r = random.Random(9)
+    bad = [f"zorb{i}x" for i in range(40)]
+    rows = []
+    for i in range(4000):
+        w = words(60, 10**7 + i).split()
+        y = int(r.random() < 0.3)
+        for b in r.choices(bad, [1 / (k + 1) for k in range(40)], k=1) * 2 if y else ():
+            w.insert(r.randrange(len(w)), b)
+        rows.append((" ".join(w).encode(), y))
+    model = fit(rows)
+    _, p, _ = model.score([f"{words(40, 10**8 + k)} {b} {b} {words(30, 10**8 + 50 + k)}".encode() for k, b in enumerate(bad)])
+    often = [sum(f" {b} " in f" {t.decode()} " for t, _ in rows) >= 12 for b in bad]
+    assert sum(often) >= 18 and (p[often] >= model.cut).all()
+    _, p, _ = model.score([words(80, 10**8 + 100 + k).encode() for k in range(50)])
+    assert (p < model.cut).all()
