@@ -98,3 +98,14 @@ def test_components_of_paths_and_rings(spark):
     edges = [(i, i + 1) for i in range(0, 200) if i % 50 != 49] + [(300, 301), (301, 302), (302, 300)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "t"), "c").collect())
     assert all(got[i] == i // 50 * 50 for i in got if i < 200) and got[301] == got[302] == 300
+
+
+def test_pruning_loses_hardly_any_pair_at_the_threshold():
+    """The exact chance that a pair of similarity 0.75 falls under a bound at one of the looks."""
+    shown, alive, at = 0.75 + 0.25 / 256, np.ones(1), 0
+    for n, least in bounds(0.75):
+        for _ in range(n - at):
+            alive = np.append(alive * (1 - shown), 0) + np.append(0, alive * shown)
+        alive[:least] = 0
+        at = n
+    assert 1 - alive.sum() < 2e-5
