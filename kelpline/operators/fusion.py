@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 K0 = 20
 
 
+def fallback(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The hits of first, and for each query_id without any there those of second; both have the same columns."""
+    return first.unionByName(second.join(first.select("query_id").distinct(), "query_id", "left_anti"))
+
+
 def rrf(lists: DataFrame, key: list[str], weights: dict[str, float], k0: int = K0) -> DataFrame:
     """(query_id, key..., source, rank) -> (query_id, key..., score, source, sources): sum of weight / (k0 + rank).
 

@@ -105,12 +105,11 @@ family.sql(
 
 @family.add("r5_lexical_fallback", f"WITH {Q.FILE_HITS} SELECT query_id, path, score, 'files' AS strategy FROM ranked")
 def r5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk hits where there are any, else file hits; the chunk index here is empty."""
+    """Chunk hits of each query that has any, else its file hits; the chunk index here is empty, as in the SQL."""
     chunks = X.chunks(spark, sf_dir).limit(0)
     hits = fts.two_phase(fts.bm25(chunks, ["path", "chunk_index"], "code", X.queries(spark, sf_dir)), ["path", "chunk_index"], 40)
-    if not hits.isEmpty():
-        return hits.select("query_id", "path", "score", F.lit("chunks").alias("strategy"))
-    return Q.file_hits(spark, sf_dir).select("query_id", "path", "score", F.lit("files").alias("strategy"))
+    files = Q.file_hits(spark, sf_dir).select("query_id", "path", "score", F.lit("files").alias("strategy"))
+    return fusion.fallback(hits.select("query_id", "path", "score", F.lit("chunks").alias("strategy")), files)
 
 
 @family.add("r8_skeleton_recall", f"WITH {Q.FILE_HITS}, h AS (SELECT query_id, path, max(score) AS score FROM (SELECT query_id, path, score FROM ranked UNION ALL SELECT query_id, path, score * 0.9 FROM ranked WHERE rank % 2 = 0) GROUP BY ALL) SELECT query_id, path, score FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) <= 6")

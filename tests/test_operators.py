@@ -184,3 +184,9 @@ def test_active_tasks_stream(spark, tmp_path):
     stream = spark.readStream.schema("dedupe_key string, created_at string").parquet(f"{tmp_path}/in")
     events.run_once(events.active_tasks(stream), "active", "append", f"file://{tmp_path}/check")
     assert sorted(x.dedupe_key for x in spark.table("active").collect()) == ["k1", "k2"]
+
+
+def test_fallback_is_by_query(spark):
+    first = spark.createDataFrame([(1, "a")], "query_id int, path string")
+    second = spark.createDataFrame([(1, "b"), (2, "c")], "query_id int, path string")
+    assert sorted(map(tuple, fusion.fallback(first, second).collect())) == [(1, "a"), (2, "c")]
