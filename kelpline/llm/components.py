@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.store import Workspace
 
-MAX_ROUNDS = 60
+#: The steps end in a few more rounds than the logarithm of the longest path; so many mean that something is wrong.
+MAX_ROUNDS = 200
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +33,7 @@ def connected_components(edges: DataFrame, work: Workspace, name: str) -> DataFr
     mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     now = work.save(edges.select("a", "b").filter("a <> b").distinct(), f"{name}-0")
     before, last = tuple(now.agg(F.count("*"), mark).first()), f"{name}-0"
-    for i in range(1, MAX_ROUNDS if before[0] else 0):
+    for i in range(1, MAX_ROUNDS if before[0] else 1):
         now = work.save(_star(_star(now, True), False), f"{name}-{i}")
         work.drop(last)
         last = f"{name}-{i}"
@@ -40,4 +41,7 @@ def connected_components(edges: DataFrame, work: Workspace, name: str) -> DataFr
         if seen == before:
             break
         before = seen
+    else:
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

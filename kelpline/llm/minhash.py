@@ -9,12 +9,14 @@ Banding: 32 bands of 4 rows propose a pair of similarity 0.75 with probability 1
 
 Groups stay linear. Each bucket first links its members to its least node (a star). After those links have been
 confirmed and merged into components, only buckets that still hold several components are searched: members outside
-the component of the bucket's least node meet all members of other components, in parts of bounded size. No member of
-a bucket is dropped or capped, and members of one component never meet again.
+the component of the bucket's least node meet all members of other components, in parts of bounded size, which prune and
+confirm in place and give a link for two components at most once. No member of a bucket is dropped or capped, and
+members of one component never meet again.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -32,8 +34,8 @@ BANDS, ROWS = 32, 4
 HASHES, SIGNED_HASHES = BANDS * ROWS, 384
 #: Hash comparisons per verification batch, and the posterior probability under which a pair is given up.
 BATCH, MISS = 16, 1e-6
-#: Expected rows of either side of a bucket part in the search between components.
-BLOCK = 512
+#: Expected bytes of either side of a bucket part in the search between components; a row holds its set and OWN_BYTES.
+PART_BYTES, OWN_BYTES = 4 << 20, SIGNED_HASHES + 8 * BANDS
 
 _SEEDS = mix(np.arange(1, 2 * SIGNED_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _SEEDS[:SIGNED_HASHES], _SEEDS[SIGNED_HASHES:] | np.uint64(1)
@@ -57,9 +59,11 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (mins & np.uint64(255)).astype(np.uint8), keys.view(np.int64)
 
 
-def _sign(shingle: int):
-    import hashlib
+def _name(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
 
+def _sign(shingle: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,7 +79,7 @@ def _sign(shingle: int):
                     [
                         pa.array(ids, pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([_name(s) for s in sets], pa.binary()),
                         pa.array(sig, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
                     ],
@@ -132,6 +136,14 @@ def _prune(limits):
     return run
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets of which one is not empty."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(percent: int, shingle: int):
     """Rows (a, b, text_a, text_b) -> (a, b) with 100 * intersection >= percent * union on full sets."""
 
@@ -151,9 +163,7 @@ def _confirm(percent: int, shingle: int):
         for batch in batches:
             a, b = [], []
             for i, j, s, t in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                x, y = of(s), of(t)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both and 100 * both >= percent * (len(x) + len(y) - both):
+                if alike(of(s), of(t), percent):
                     a.append(i)
                     b.append(j)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -161,23 +171,57 @@ def _confirm(percent: int, shingle: int):
     return run
 
 
-def _search_blocks(limits):
-    """Rows sorted by (key, block, chunk): bounded parts of a bucket -> surviving pairs of different components.
+@tidy
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, sig, bands, set_id, text, shingle) -> (node, sig, bands, set) of the text that has the set: its sorted shingles as bytes."""
+    for batch in batches:
+        sizes = batch.column(5).to_pylist()
+        sets = shingle_sets(batch.column(4).to_pylist(), sizes[0]) if sizes else []
+        own = [i for i, (s, name) in enumerate(zip(sets, batch.column(3).to_pylist(), strict=True)) if _name(s) == name]
+        kept = batch.select([0, 1, 2]).take(pa.array(own, pa.int64()))
+        yield pa.record_batch([*kept.columns, pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["node", "sig", "bands", "set"])
+
+
+def _search_blocks(limits, percent: int):
+    """Rows sorted by (key, block, chunk): bounded parts of a bucket -> confirmed links of different components.
 
     Rows of side 0 (outside the component of the bucket's least node) meet rows of side 1 (any); of two rows that
     are both outside, the lesser node asks. A pair that shares several buckets is compared in that of its first band.
+    What survives pruning is compared on the full sets here, and components that a link joins do not meet again in the
+    part, so a part gives fewer links than it has components.
     """
 
-    def pairs(key: int, side, nodes, parts, outside, sig, bands) -> list[tuple[int, int]]:
+    def pairs(key: int, side, nodes, parts, outside, sets, sig, bands) -> list[tuple[int, int]]:
         right = np.flatnonzero(side == 1)
+        joined = {int(p): int(p) for p in np.unique(parts)}
+
+        def find(p: int) -> int:
+            while joined[p] != p:
+                joined[p] = joined[joined[p]]
+                p = joined[p]
+            return p
+
+        full: dict[int, np.ndarray] = {}
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in full:
+                full[i] = np.frombuffer(sets[i], np.uint64)
+            return full[i]
+
         out = []
         for i in np.flatnonzero(side == 0):
             with_ = right[(parts[right] != parts[i]) & ((outside[right] == 0) | (nodes[right] > nodes[i]))]
             if len(with_):
                 with_ = with_[bands[i][(bands[with_] == bands[i]).argmax(axis=1)] == key]
-            if len(with_):
-                live = with_[survive(np.broadcast_to(sig[i], (len(with_), SIGNED_HASHES)), sig[with_], limits)]
-                out += [(int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))) for j in live]
+            if not len(with_):
+                continue
+            with_ = with_[survive(np.broadcast_to(sig[i], (len(with_), SIGNED_HASHES)), sig[with_], limits)]
+            x = set_of(i)
+            for j in with_[np.argsort(-(sig[with_] == sig[i]).sum(axis=1), kind="stable")].tolist():
+                p, q = find(int(parts[i])), find(int(parts[j]))
+                if p != q and alike(x, set_of(j), percent):
+                    joined[q] = p
+                    out.append((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
         return out
 
     def pack(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -189,8 +233,8 @@ def _search_blocks(limits):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
-            cols += [_matrix(batch.column(7)), batch.column(8).flatten().to_numpy().reshape(-1, BANDS)]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
+            cols += [_matrix(batch.column(8)), batch.column(9).flatten().to_numpy().reshape(-1, BANDS)]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
             new = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]])
@@ -223,43 +267,43 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 75, shingle: int =
     signed = work.save(texts.mapInArrow(_sign(shingle), SIGNED), "signed")
 
     named = signed.filter("doc_id is not null and n_shingles > 0")
-    nodes = named.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = named.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
     nodes = work.save(nodes, "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("key"))
+    banded = nodes.select("node", (8 * F.col("size") + OWN_BYTES).alias("bytes"), F.explode("bands").alias("key"))
     stars = banded.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     members = work.save(banded.join(stars.select("key", "least"), "key"), "members")
 
     candidates = members.select("node").distinct()
-    signs = nodes.select("node", "sig", "bands").join(candidates, "node", "left_semi")
+    signs = nodes.select("node", "sig", "bands", "set_id").join(candidates, "node", "left_semi")
     held = work.save(signs.join(texts.withColumnRenamed("doc_id", "node"), "node"), "candidates")
 
-    def confirmed(pairs: DataFrame, name: str, pruned: bool) -> DataFrame:
-        if not pruned:
-            a, b = (held.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
-            pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_prune(limits), "a long, b long")
-            pairs = work.save(pairs, f"{name}-survivors")  # one Python worker a task at a time
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        a, b = (held.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
+        pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_prune(limits), "a long, b long")
+        pairs = work.save(pairs, f"{name}-survivors")  # one Python worker a task at a time
         a, b = (held.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
         rows = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
         return work.save(rows.mapInArrow(_confirm(threshold_percent, shingle), "a long, b long"), name)
 
     starred = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirmed(starred, "star-links", False)
+    links = confirmed(starred, "star-links")
     parts = connected_components(links, work, "parts")
 
-    labelled = members.join(parts, "node", "left").select("key", "node", "least", F.coalesce("component", "node").alias("part"))
-    outside = F.col("part") != F.col("home")
-    open_ = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"), F.min_by("part", "node").alias("home")).filter("p < q")
-    rows = labelled.join(open_.select("key", "n", "home"), "key").select("key", "node", "part", outside.cast("int").alias("outside"), "n")
-    asking = rows.groupBy("key").agg(F.sum("outside").alias("asking"))
-    rows = rows.join(asking, "key").join(held.select("node", "sig", "bands").dropDuplicates(["node"]), "node")
-    chunks, blocks_ = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "asking"))
+    labelled = members.join(parts, "node", "left").select("key", "node", "bytes", F.coalesce("component", "node").alias("part"))
+    open_ = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.sum("bytes").alias("all"), F.min_by("part", "node").alias("home")).filter("p < q")
+    rows = labelled.join(open_.select("key", "all", "home"), "key").withColumn("outside", (F.col("part") != F.col("home")).cast("int"))
+    rows = work.save(rows, "open")
+    sets = signs.join(rows.select("node").distinct(), "node", "left_semi").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    sets = work.save(sets.select("node", "sig", "bands", "set_id", "text", F.lit(shingle)).mapInArrow(_sets, "node long, sig binary, bands array<long>, set binary").dropDuplicates(["node", "set"]), "sets")
+    asking = rows.filter("outside = 1").groupBy("key").agg(F.sum("bytes").alias("asking"))
+    rows = rows.join(asking, "key").join(sets, "node")
+    chunks, blocks_ = (F.ceil(F.col(c) / PART_BYTES).cast("int") for c in ("all", "asking"))
     place = F.xxhash64("node", F.lit(1))
     asks = rows.filter("outside = 1").withColumn("block", F.pmod(place, blocks_).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
     asked = rows.withColumn("chunk", F.pmod(place, chunks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks_ - 1)))
-    asks, asked = (x.select("key", "block", "chunk", F.lit(side).alias("side"), "node", "part", "outside", "sig", "bands") for side, x in enumerate((asks, asked)))
+    asks, asked = (x.select("key", "block", "chunk", F.lit(side).alias("side"), "node", "part", "outside", "set", "sig", "bands") for side, x in enumerate((asks, asked)))
     rows = asks.union(asked).repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
-    found = rows.mapInArrow(_search_blocks(limits), "a long, b long").distinct()
-    more = confirmed(found, "cross-links", True)
+    more = work.save(rows.mapInArrow(_search_blocks(limits, threshold_percent), "a long, b long").distinct(), "cross-links")
     links = links.union(more).distinct()
     parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), work, "all")
 
