@@ -34,14 +34,15 @@ BANDS, ROWS = 32, 4
 HASHES, SIGNED_HASHES = BANDS * ROWS, 384
 #: Hash comparisons per verification batch, and the posterior probability under which a pair is given up.
 BATCH, MISS = 16, 1e-6
-#: Expected bytes of either side of a bucket part in the search between components; a row holds its set and OWN_BYTES.
-PART_BYTES, OWN_BYTES = 4 << 20, SIGNED_HASHES + 8 * BANDS
+#: Expected bytes of either side of a bucket part in the search between components. Its first look is at rows with SHORT
+#: hashes and the low 4 bytes of each band key; only rows that have a partner left go on to one at whole rows.
+PART_BYTES, SHORT = 4 << 20, 128
 
 _SEEDS = mix(np.arange(1, 2 * SIGNED_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _SEEDS[:SIGNED_HASHES], _SEEDS[SIGNED_HASHES:] | np.uint64(1)
 _BAND = np.array([mix(np.array([b + 1], np.uint64))[0] for b in range(BANDS)], np.uint64)
 
-SIGNED = "doc_id long, n_shingles long, set_id binary, sig binary, bands array<long>"
+SIGNED = "doc_id long, n_shingles long, set_id binary, sig binary, bands array<long>, low binary"
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,11 +71,11 @@ def _sign(shingle: int):
             for ids, texts in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sets = shingle_sets(texts, shingle)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                sig, bands = [None] * len(ids), [None] * len(ids)
+                sig, bands, low = ([None] * len(ids) for _ in range(3))
                 if full:
-                    low, keys = signatures([sets[i] for i in full])
+                    signed, keys = signatures([sets[i] for i in full])
                     for j, i in enumerate(full):
-                        sig[i], bands[i] = low[j].tobytes(), keys[j]
+                        sig[i], bands[i], low[i] = signed[j].tobytes(), keys[j], keys[j].astype(np.int32).tobytes()
                 yield pa.record_batch(
                     [
                         pa.array(ids, pa.int64()),
@@ -82,8 +83,9 @@ def _sign(shingle: int):
                         pa.array([_name(s) for s in sets], pa.binary()),
                         pa.array(sig, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
+                        pa.array(low, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_id", "sig", "bands"],
+                    names=["doc_id", "n_shingles", "set_id", "sig", "bands", "low"],
                 )
 
     return run
@@ -121,8 +123,8 @@ def survive(a: np.ndarray, b: np.ndarray, limits: list[tuple[int, int]]) -> np.n
     return live
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SIGNED_HASHES)
+def _matrix(column: pa.Array, width: int = SIGNED_HASHES) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
 
 
 def _prune(limits):
@@ -182,18 +184,80 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*kept.columns, pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["node", "sig", "bands", "set"])
 
 
-def _search_blocks(limits, percent: int):
-    """Rows sorted by (key, block, chunk): bounded parts of a bucket -> confirmed links of different components.
+def _parts(batches: Iterator[pa.RecordBatch], convert) -> Iterator[tuple[int, list[np.ndarray]] | None]:
+    """Rows sorted by (key, block, chunk) -> (key, columns after these) of each part; None at the end of a batch."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)] + convert(batch.columns[3:])
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        new = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield cols[0][a], [c[a:b] for c in cols[3:]]
+        held = [c[cuts[-1] :] for c in cols]
+        yield None
+    if held is not None:
+        yield held[0][0], held[3:]
+
+
+def _partners(key, side, nodes, parts, outside, sig, bands, limits) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows that it meets and no look prunes) of a part.
 
     Rows of side 0 (outside the component of the bucket's least node) meet rows of side 1 (any); of two rows that
     are both outside, the lesser node asks. A pair that shares several buckets is compared in that of its first band.
+    """
+    right = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0):
+        with_ = right[(parts[right] != parts[i]) & ((outside[right] == 0) | (nodes[right] > nodes[i]))]
+        if len(with_):
+            with_ = with_[bands[i][(bands[with_] == bands[i]).argmax(axis=1)] == key]
+        if len(with_):
+            with_ = with_[survive(np.broadcast_to(sig[i], (len(with_), sig.shape[1])), sig[with_], limits)]
+        if len(with_):
+            yield i, with_
+
+
+def _glance(limits):
+    """Parts of rows with short signatures -> (key, node) of the rows that some partner is left of."""
+    limits = [x for x in limits if x[0] <= SHORT]
+
+    def convert(cols: list[pa.Array]) -> list[np.ndarray]:
+        kept = [c.to_numpy(zero_copy_only=False) for c in cols[:4]]
+        return [*kept, _matrix(cols[4], SHORT), np.frombuffer(b"".join(cols[5].to_pylist()), np.int32).reshape(-1, BANDS)]
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for part in _parts(batches, convert):
+            if part is None:
+                yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["key", "node"])
+                out = []
+                continue
+            key, cols = part
+            near = {int(x) for i, with_ in _partners(np.array([key], np.int64).view(np.int32)[0], *cols, limits) for x in cols[1][np.append(with_, i)]}
+            out += [(key, x) for x in near]
+        yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["key", "node"])
+
+    return run
+
+
+def _search(limits, percent: int):
+    """Parts of rows with whole signatures and sets -> confirmed links of different components.
+
     What survives pruning is compared on the full sets here, and components that a link joins do not meet again in the
     part, so a part gives fewer links than it has components.
     """
 
-    def pairs(key: int, side, nodes, parts, outside, sets, sig, bands) -> list[tuple[int, int]]:
-        right = np.flatnonzero(side == 1)
+    def convert(cols: list[pa.Array]) -> list[np.ndarray]:
+        kept = [c.to_numpy(zero_copy_only=False) for c in cols[:4]]
+        return [*kept, _matrix(cols[4]), cols[5].flatten().to_numpy().reshape(-1, BANDS), cols[6].to_numpy(zero_copy_only=False)]
+
+    def links(key, side, nodes, parts, outside, sig, bands, sets) -> list[tuple[int, int]]:
         joined = {int(p): int(p) for p in np.unique(parts)}
+        full = [np.frombuffer(x, np.uint64) for x in sets]
 
         def find(p: int) -> int:
             while joined[p] != p:
@@ -201,55 +265,36 @@ def _search_blocks(limits, percent: int):
                 p = joined[p]
             return p
 
-        full: dict[int, np.ndarray] = {}
-
-        def set_of(i: int) -> np.ndarray:
-            if i not in full:
-                full[i] = np.frombuffer(sets[i], np.uint64)
-            return full[i]
-
         out = []
-        for i in np.flatnonzero(side == 0):
-            with_ = right[(parts[right] != parts[i]) & ((outside[right] == 0) | (nodes[right] > nodes[i]))]
-            if len(with_):
-                with_ = with_[bands[i][(bands[with_] == bands[i]).argmax(axis=1)] == key]
-            if not len(with_):
-                continue
-            with_ = with_[survive(np.broadcast_to(sig[i], (len(with_), SIGNED_HASHES)), sig[with_], limits)]
-            x = set_of(i)
+        for i, with_ in _partners(key, side, nodes, parts, outside, sig, bands, limits):
             for j in with_[np.argsort(-(sig[with_] == sig[i]).sum(axis=1), kind="stable")].tolist():
                 p, q = find(int(parts[i])), find(int(parts[j]))
-                if p != q and alike(x, set_of(j), percent):
+                if p != q and alike(full[i], full[j], percent):
                     joined[q] = p
                     out.append((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
         return out
 
-    def pack(out: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
-            cols += [_matrix(batch.column(8)), batch.column(9).flatten().to_numpy().reshape(-1, BANDS)]
-            if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            new = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]])
-            cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
-            out = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                out += pairs(cols[0][a], *(c[a:b] for c in cols[3:]))
-            held = [c[cuts[-1] :] for c in cols]
-            yield pack(out)
-        if held is not None:
-            yield pack(pairs(held[0][0], *held[3:]))
+        for part in _parts(batches, convert):
+            out = links(part[0], *part[1]) if part else []
+            yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows(key, node, outside, bytes, ...) -> parts of buckets: every row outside meets all rows of its bucket, in parts of bounded size."""
+    size = rows.groupBy("key").agg(F.sum("bytes").alias("all"), F.sum(F.col("outside") * F.col("bytes")).alias("asking"))
+    rows = rows.join(size, "key")
+    chunks, blocks_ = (F.greatest(F.lit(1), F.ceil(F.col(c) / PART_BYTES)).cast("int") for c in ("all", "asking"))
+    place = F.xxhash64("node", F.lit(1))
+    asks = rows.filter("outside = 1").withColumn("block", F.pmod(place, blocks_).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    asked = rows.withColumn("chunk", F.pmod(place, chunks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks_ - 1)))
+    asks, asked = (x.select("key", "block", "chunk", F.lit(side).alias("side"), "node", "part", "outside", *columns) for side, x in enumerate((asks, asked)))
+    return asks.union(asked).repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
+
+
 def near_duplicates(docs: DataFrame, threshold_percent: int = 75, shingle: int = SHINGLE, miss: float = MISS) -> DataFrame:
     """Near-duplicate classes of `docs(doc_id, text, ...)`; one row per row of docs.
 
@@ -267,14 +312,14 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 75, shingle: int =
     signed = work.save(texts.mapInArrow(_sign(shingle), SIGNED), "signed")
 
     named = signed.filter("doc_id is not null and n_shingles > 0")
-    nodes = named.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    nodes = named.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     nodes = work.save(nodes, "nodes")
-    banded = nodes.select("node", (8 * F.col("size") + OWN_BYTES).alias("bytes"), F.explode("bands").alias("key"))
+    banded = nodes.select("node", F.explode("bands").alias("key"))
     stars = banded.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     members = work.save(banded.join(stars.select("key", "least"), "key"), "members")
 
     candidates = members.select("node").distinct()
-    signs = nodes.select("node", "sig", "bands", "set_id").join(candidates, "node", "left_semi")
+    signs = nodes.select("node", "sig", "bands", "low", "set_id").join(candidates, "node", "left_semi")
     held = work.save(signs.join(texts.withColumnRenamed("doc_id", "node"), "node"), "candidates")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
@@ -289,21 +334,19 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 75, shingle: int =
     links = confirmed(starred, "star-links")
     parts = connected_components(links, work, "parts")
 
-    labelled = members.join(parts, "node", "left").select("key", "node", "bytes", F.coalesce("component", "node").alias("part"))
-    open_ = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.sum("bytes").alias("all"), F.min_by("part", "node").alias("home")).filter("p < q")
-    rows = labelled.join(open_.select("key", "all", "home"), "key").withColumn("outside", (F.col("part") != F.col("home")).cast("int"))
+    labelled = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    open_ = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min_by("part", "node").alias("home")).filter("p < q")
+    rows = labelled.join(open_.select("key", "home"), "key").select("key", "node", "part", (F.col("part") != F.col("home")).cast("int").alias("outside"))
     rows = work.save(rows, "open")
-    sets = signs.join(rows.select("node").distinct(), "node", "left_semi").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    work.drop("candidates")
+    short = signs.select("node", F.substring("sig", 1, SHORT).alias("short"), F.col("low").alias("low"))
+    first = _dealt(rows.withColumn("bytes", F.lit(SHORT + 4 * BANDS)).join(short, "node"), "short", "low")
+    near = work.save(first.mapInArrow(_glance(limits), "key long, node long").distinct(), "near")
+    sets = signs.join(near.select("node").distinct(), "node", "left_semi").join(texts.withColumnRenamed("doc_id", "node"), "node")
     sets = work.save(sets.select("node", "sig", "bands", "set_id", "text", F.lit(shingle)).mapInArrow(_sets, "node long, sig binary, bands array<long>, set binary").dropDuplicates(["node", "set"]), "sets")
-    asking = rows.filter("outside = 1").groupBy("key").agg(F.sum("bytes").alias("asking"))
-    rows = rows.join(asking, "key").join(sets, "node")
-    chunks, blocks_ = (F.ceil(F.col(c) / PART_BYTES).cast("int") for c in ("all", "asking"))
-    place = F.xxhash64("node", F.lit(1))
-    asks = rows.filter("outside = 1").withColumn("block", F.pmod(place, blocks_).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    asked = rows.withColumn("chunk", F.pmod(place, chunks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks_ - 1)))
-    asks, asked = (x.select("key", "block", "chunk", F.lit(side).alias("side"), "node", "part", "outside", "set", "sig", "bands") for side, x in enumerate((asks, asked)))
-    rows = asks.union(asked).repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
-    more = work.save(rows.mapInArrow(_search_blocks(limits, threshold_percent), "a long, b long").distinct(), "cross-links")
+    second = rows.join(near, ["key", "node"], "left_semi").join(sets, "node").withColumn("bytes", F.length("set") + SIGNED_HASHES + 8 * BANDS)
+    more = work.save(_dealt(second, "sig", "bands", "set").mapInArrow(_search(limits, threshold_percent), "a long, b long").distinct(), "cross-links")
+    work.drop("members", "open", "near", "sets")
     links = links.union(more).distinct()
     parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), work, "all")
 

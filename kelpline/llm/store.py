@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,12 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 #: Rows of an Arrow batch at most: batches hold whole texts, so their memory follows the longest ones.
 BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; sets one only where the session names none (tests)."""
+    """The cluster's shared folder; sets one only where a local session names none (tests)."""
     found = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='kelpline-')}"
         spark.conf.set(CHECKPOINT_CONF, found)
     return found
@@ -66,7 +70,13 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, **options) -> DataFrame:
-        df.write.options(**options).parquet(self.path(name))
+        """Write a table and read it again. Its shuffle files go as soon as it is written: later steps read the table."""
+        before = self.spark.conf.get(CLEANUP_CONF, "false")
+        self.spark.conf.set(CLEANUP_CONF, "true")
+        try:
+            df.write.options(**options).parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEANUP_CONF, before)
         return self.load(name, df.schema)
 
     def load(self, name: str, schema=None) -> DataFrame:
