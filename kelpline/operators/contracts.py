@@ -16,17 +16,59 @@ def consumers(routes: DataFrame, files: DataFrame, pattern: str = r"""fetch\(\s*
 
 
 def route_of(path):
-    """The API route that a file's path declares, or null."""
-    app = F.regexp_extract(path, r"(?:^|/)app/api/(.+)/route\.[cm]?[tj]sx?$", 1)
-    page = F.regexp_replace(F.regexp_extract(path, r"(?:^|/)pages/api/(.+)\.[cm]?[tj]sx?$", 1), "/index$", "")
-    return F.when(app != "", F.concat(F.lit("/api/"), app)).when(page != "", F.concat(F.lit("/api/"), page))
+    """The API route that a file's path declares, or null.
+
+    Two layouts declare routes. Below a folder `app/api`, a file `route` handles the route of its folder; below a folder
+    `pages/api`, a file handles the route of its own name, or of its folder if it is `index`. Files are JavaScript or
+    TypeScript. The path is read segment by segment: where `api` follows either folder first, the route begins.
+    """
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    dot = F.substring_index(name, ".", -1)
+    stem = F.when(F.contains(name, F.lit(".")), name.substr(F.lit(1), F.length(name) - F.length(dot) - 1)).otherwise("")
+    script = F.regexp_like(dot, F.lit("^[cm]?[jt]sx?$"))
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+
+    def below(folder: str):
+        """The folders under the first `folder`/api, or null."""
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(folders) - 1))
+        at = F.filter(places, lambda i: (F.get(folders, i - 1) == folder) & (F.get(folders, i) == "api"))
+        return F.when(F.size(at) > 0, F.slice(folders, F.get(at, 0) + 2, F.size(folders)))
+
+    app, pages = below("app"), below("pages")
+    route = F.when(script & (stem == "route") & (F.size(app) > 0), app)
+    route = route.when(script & (F.size(pages) > 0) & (stem == "index"), pages).when(script & pages.isNotNull() & (stem != ""), F.concat(pages, F.array(stem)))
+    return F.when(route.isNotNull(), F.concat(F.lit("/api/"), F.array_join(route, "/")))
+
+
+#: A name, a number or a mark, with the blanks before it.
+_NAME_OR_MARK = r"\s*(?:[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+|[^\sA-Za-z0-9_$])"
 
 
 def response_keys(text):
-    """Keys of the flat object literals that are passed to json(...), sorted."""
-    bodies = F.regexp_extract_all(text, F.lit(r"\bjson\s*\(\s*\{([^{}]*)\}"), F.lit(1))
-    keys = F.flatten(F.transform(bodies, lambda b: F.regexp_extract_all(b, F.lit(r"(?:^|[,{\s])([A-Za-z_$][A-Za-z0-9_$]*)\s*:"), F.lit(1))))
-    return F.array_sort(F.array_distinct(keys))
+    """Keys of the object literals that are passed to json(...), sorted, those of nested objects among them.
+
+    The text is cut into names and marks. A fold keeps the depth of braces within a json call's object; a name counts as
+    a key where a colon follows it and a brace, a comma or a blank stands before it.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(_NAME_OR_MARK), F.lit(0))
+    marks = F.transform(pieces, lambda p: F.regexp_replace(p, r"^\s+", ""))
+    n = F.size(marks)
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 3)), lambda i: (F.get(marks, i) == "json") & (F.get(marks, i + 1) == "(") & (F.get(marks, i + 2) == "{"))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("keys"))
+
+    def body(i):
+        """The keys of the object that begins two marks after place i."""
+
+        def step(s, j):
+            piece = F.get(marks, j)
+            inside = F.when(s["depth"] < 0, s["depth"]).when(piece == "{", s["depth"] + 1).when((piece == "}") & (s["depth"] == 1), F.lit(-1)).when(piece == "}", s["depth"] - 1).otherwise(s["depth"])
+            named = (s["depth"] > 0) & F.regexp_like(piece, F.lit("^[A-Za-z_$]")) & (F.get(marks, j + 1) == ":") & (F.get(marks, j - 1).isin("{", ",") | (F.get(marks, j) != F.get(pieces, j)))
+            return F.struct(inside.alias("depth"), F.when(named, F.array_append(s["keys"], piece)).otherwise(s["keys"]).alias("keys"))
+
+        return F.aggregate(F.sequence(i + 2, n - 1), start, step, lambda s: s["keys"])
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(at, body))))
 
 
 def barrel(path):

@@ -10,34 +10,46 @@ from kelpline.functions.text import tokens
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, key: list[str], text: str) -> DataFrame:
-    """docs -> (key..., length, term, tf); length counts all tokens of the document. Documents without tokens vanish."""
+#: Stands for a document itself among its terms; no token is empty.
+ITSELF = ""
+
+
+def postings(docs: DataFrame, key: list[str], text: str, terms: DataFrame | None = None) -> DataFrame:
+    """docs -> (key..., length, term, tf) with a row (ITSELF) for each document; of the given terms alone if there are any.
+
+    length counts all tokens of the document. Other terms go before anything is counted. explode_outer keeps Spark from
+    adding a filter on the exploded array, which would tokenize every text once more.
+    """
     t = docs.select(*key, tokens(F.col(text)).alias("terms"))
-    flat = t.select(*key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    flat = t.select(*key, F.size("terms").alias("length"), F.explode_outer(F.array_append(F.coalesce("terms", F.array().cast("array<string>")), F.lit(ITSELF))).alias("term"))
+    flat = flat.filter("term is not null")
+    if terms is not None:
+        flat = flat.join(terms.union(terms.sparkSession.sql(f"SELECT '{ITSELF}' AS term")), "term", "left_semi")
     return flat.groupBy(*key, "length", "term").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, query) -> (query_id, n_terms, term), terms distinct."""
     t = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("terms"))
-    return t.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    return t.select("query_id", F.size("terms").alias("n_terms"), F.explode_outer("terms").alias("term")).filter("term is not null")
 
 
 def bm25(docs: DataFrame, key: list[str], text: str, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """-> (query_id, key..., score, matched, n_terms) for every document with at least one query term.
 
-    Only terms that some query holds are scored: the postings are cut by a semi-join before the query join. The
-    statistics N and average length are one row and ride along as a broadcast.
+    Only terms that some query holds are counted and scored. The statistics N and average length are one row and ride
+    along as a broadcast; whether the terms do is left to Spark's size check.
     """
-    p = postings(docs, key, text)
     q = query_terms(queries)
-    stats = docs.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_length"))
-    used = p.join(q.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count("*").alias("df"))
+    used = postings(docs, key, text, q.select("term").distinct())
+    # All of these read the same columns of the postings, so that Spark counts them once and reuses the exchange.
+    itself = F.when(F.col("term") == ITSELF, F.col("tf"))
+    stats = used.agg(F.sum(itself).alias("n_docs"), (F.sum(itself * F.col("length")) / F.sum(F.when(F.col("length").isNotNull(), itself))).alias("avg_length"))
+    df = used.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weighted = q.join(df, "term").join(F.broadcast(stats)).select("query_id", "n_terms", "term", idf.alias("idf"), "avg_length")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    hits = used.join(weighted, "term")
+    hits = used.join(weighted.hint("merge"), "term")  # else the postings, many rows a term, may be taken for the side to broadcast
     return hits.groupBy("query_id", *key, "n_terms").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
 
 
@@ -45,14 +57,17 @@ def two_phase(scored: DataFrame, key: list[str], limit: int) -> DataFrame:
     """All-terms matches first, up to limit; any-term matches fill what is missing; the whole is ranked by score.
 
     The relaxed fetch takes the missing number and ten more and skips those already there. rank is zero-based.
+
+    What either fetch can take is among the first limit + 10 strict and as many other matches of a query, which each
+    task finds of its own rows before the shuffle (a window group limit); all the rest works on those few.
     """
     order = [F.col("score").desc(), *key]
     w = Window.partitionBy("query_id")
     strict = F.col("matched") == F.col("n_terms")
-    r = scored.withColumn("strict", strict).withColumn("any_rank", F.row_number().over(w.orderBy(*order)))
-    r = r.filter((F.col("any_rank") <= limit + 10) | F.col("strict"))
-    r = r.withColumn("strict_rank", F.when(F.col("strict"), F.row_number().over(Window.partitionBy("query_id", "strict").orderBy(*order))))
-    r = r.withColumn("taken", F.col("strict") & (F.col("strict_rank") <= limit))
+    own = F.row_number().over(Window.partitionBy("query_id", "strict").orderBy(*order))
+    r = scored.withColumn("strict", strict).withColumn("own_rank", own).filter(F.col("own_rank") <= limit + 10)
+    r = r.withColumn("any_rank", F.row_number().over(w.orderBy(*order)))
+    r = r.withColumn("taken", F.col("strict") & (F.col("own_rank") <= limit))
     r = r.withColumn("n_strict", F.sum(F.col("taken").cast("int")).over(w))
     spare = ~F.col("taken") & (F.col("any_rank") <= limit - F.col("n_strict") + 10) & (F.col("n_terms") > 1)
     r = r.withColumn("spare_rank", F.when(spare, F.row_number().over(Window.partitionBy("query_id", spare).orderBy(*order))))
