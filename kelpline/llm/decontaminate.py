@@ -18,6 +18,7 @@ tests measure the recall at the largest allowed number of edits.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from kelpline.llm.store import tidy
 from kelpline.llm.words import HashIndex, blocks, hash_words, mix, terms_of
 
-#: Word edits allowed, as a share of the item's words; items of fewer words than LEAST_WORDS can't contaminate.
+#: Word edits allowed, as a share of the item's words; items of fewer words than LEAST_WORDS must be there without any.
 EDITS, LEAST_WORDS = 0.25, 5
 #: Rounds of bit sampling, and sampled steps a round.
 REPEATS, SAMPLED = 24, 2
@@ -36,6 +37,17 @@ REPEATS, SAMPLED = 24, 2
 PASS_WORDS = 1 << 20
 
 BLOCK_BYTES = 1 << 21
+#: Cells of the matrices that candidates are embedded and verified in at once.
+CELLS = 1 << 20
+
+#: Han and kana characters in UTF-8: texts without blanks count each as a word.
+_WIDE = re.compile(rb"(?:\xe3[\x81-\xbf]|[\xe4-\xe9][\x80-\xbf])[\x80-\xbf]")
+
+
+def sought_terms(text: bytes | None) -> list[bytes]:
+    """Words without case and ASCII punctuation; each character of scripts without blanks is one."""
+    return terms_of(_WIDE.sub(rb" \g<0> ", text)) if text else []
+
 
 FOUND = "doc_id long, item_id long, edits int, item_words int, start_word long"
 
@@ -98,12 +110,12 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, bytes]], edits: float = EDITS, repeats: int = REPEATS, seed: int = 0):
         by_words: dict[bytes, list[int]] = {}
         for item, text in items:
-            words = terms_of(text)
-            if len(words) >= LEAST_WORDS:
+            words = sought_terms(text)
+            if words:
                 by_words.setdefault(b" ".join(words), []).append(item)
         self.names = [sorted(v) for v in by_words.values()]
         self.words = [hash_words(k.split(b" ")) for k in by_words]
-        self.allowed = np.array([int(edits * len(w)) for w in self.words], np.int64)
+        self.allowed = np.array([int(edits * len(w)) if len(w) >= LEAST_WORDS else 0 for w in self.words], np.int64)
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         rng = np.random.default_rng(seed)
         piece_keys: dict[int, list] = {}
@@ -120,14 +132,31 @@ class ItemIndex:
             firsts[-1] = len(keys)
             self.pieces.append((size, index, firsts, np.array([rows[j][1] for j in order]), np.array([rows[j][2] for j in order])))
         self.sampled = rng.random((repeats, SAMPLED))
-        self.width = int(self.sizes.max()) if len(self.sizes) else 1
-        self.table = np.full((len(self.words), self.width), _PAD)
-        for i, words in enumerate(self.words):
-            self.table[i, : len(words)] = words
-        keys = cgk_keys(self.table, self.sizes, self.sampled) if len(self.words) else np.zeros((0, repeats), np.uint64)
+        keys = np.zeros((len(self.words), repeats), np.uint64)
+        for part in self._parts(self.sizes):
+            keys[part] = cgk_keys(self._items(part), self.sizes[part], self.sampled)
         self.order = np.argsort(keys, axis=0, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=0)
 
+    @staticmethod
+    def _parts(sizes: np.ndarray) -> Iterator[np.ndarray]:
+        """The rows in runs of like size, so that a matrix of a run has about CELLS cells, or one row."""
+        order = np.argsort(sizes, kind="stable")
+        at = 0
+        while at < len(order):
+            end = at + max(1, CELLS // max(1, int(sizes[order[at]])))
+            while end > at + 1 and (min(end, len(order)) - at) * int(sizes[order[min(end, len(order)) - 1]]) > CELLS:
+                end = at + max(1, (min(end, len(order)) - at) // 2)
+            yield order[at : min(end, len(order))]
+            at = min(end, len(order))
+
+    def _items(self, which: np.ndarray) -> np.ndarray:
+        """The words of some items as rows, padded to the longest of them."""
+        out = np.full((len(which), int(self.sizes[which].max())), _PAD)
+        for row, i in enumerate(which.tolist()):
+            out[row, : self.sizes[i]] = self.words[i]
+        return out
+
     def windows(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """(start, size) rows: places in the concatenated words of texts where an item of that size may begin."""
         found = [np.zeros((0, 2), np.int64)]
@@ -149,14 +178,14 @@ class ItemIndex:
 
     def search(self, texts: list[bytes | None]) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, start word) of every item found in a text, once each, at its best place."""
-        lists = [terms_of(t) for t in texts]
+        lists = [sought_terms(t) for t in texts]
         ends = np.cumsum([len(w) for w in lists])
         words = hash_words([w for ws in lists for w in ws])
         best: dict[tuple[int, int], tuple[int, int]] = {}
         if len(words) and len(self.words):
             rows = self.windows(words, ends)
-            for at in range(0, len(rows), 1024):
-                self._verify(rows[at : at + 1024, 0], rows[at : at + 1024, 1], words, ends, best)
+            for part in self._parts(rows[:, 1]):
+                self._verify(rows[part, 0], rows[part, 1], words, ends, best)
         firsts = np.append(0, ends)
         return [(t, i, e, s - int(firsts[t])) for (t, i), (e, s) in sorted(best.items())]
 
@@ -168,7 +197,7 @@ class ItemIndex:
     def _verify(self, starts: np.ndarray, sizes: np.ndarray, words: np.ndarray, ends: np.ndarray, best: dict) -> None:
         text = np.searchsorted(ends, starts, side="right")
         low, stops = np.append(0, ends)[text], ends[text]
-        keys = cgk_keys(self._take(words, starts, stops, self.width, low), sizes, self.sampled)
+        keys = cgk_keys(self._take(words, starts, stops, int(sizes.max()), low), sizes, self.sampled)
         pairs = []
         for r in range(keys.shape[1]):
             a = np.searchsorted(self.keys[:, r], keys[:, r], side="left")
@@ -187,13 +216,15 @@ class ItemIndex:
         window, item, k = window[one], item[one], k[one]
         for n in np.unique(self.sizes[item]).tolist():
             own = np.flatnonzero(self.sizes[item] == n)
-            w, i, most = window[own], item[own], int(k[own[0]])
-            span = self._take(words, starts[w] - 2 * most, stops[w], n + 5 * most + 1, low[w])
-            edits, end = best_edits(self.table[i, :n], span)
-            for j in np.flatnonzero(edits <= most).tolist():
-                start = max(int(low[w[j]]), int(starts[w[j]]) - 2 * most + int(end[j]) - n)
-                name = (int(text[w[j]]), int(i[j]))
-                best[name] = min(best.get(name, (n + 1, 0)), (int(edits[j]), start))
+            most, step = int(k[own[0]]), max(1, CELLS // (n + 5 * int(k[own[0]]) + 1))
+            for at in range(0, len(own), step):
+                w, i = window[own[at : at + step]], item[own[at : at + step]]
+                span = self._take(words, starts[w] - 2 * most, stops[w], n + 5 * most + 1, low[w])
+                edits, end = best_edits(self._items(i), span)
+                for j in np.flatnonzero(edits <= most).tolist():
+                    start = max(int(low[w[j]]), int(starts[w[j]]) - 2 * most + int(end[j]) - n)
+                    name = (int(text[w[j]]), int(i[j]))
+                    best[name] = min(best.get(name, (n + 1, 0)), (int(edits[j]), start))
 
 
 def item_passes(benchmark: DataFrame, pass_words: int = PASS_WORDS) -> Iterator[list[tuple[int, bytes]]]:
@@ -223,9 +254,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, p
     """docs(doc_id, text, ...) x benchmark(item_id, text, ...) -> one row for each item found in a row of docs.
 
     Returns doc_id, item_id, edits (least word edits to any span), item_words, start_word (of that span). Words are
-    lower-cased and freed of ASCII punctuation on both sides.
+    lower-cased and freed of ASCII punctuation on both sides; each Han or kana character is a word of its own.
 
-    Defined cases: null or empty texts and items of under LEAST_WORDS words find nothing; items with equal words are
+    Defined cases: null or empty texts and items without words find nothing; items of under LEAST_WORDS words are found word for word; items with equal words are
     all reported; a null item_id is skipped; a null doc_id is kept as null; repeated rows of docs are reported each.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))

@@ -7,7 +7,7 @@ import html
 import re
 from dataclasses import dataclass
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']+|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']+|"[^"]*"|'[^']*')*+|[^<>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 # Fixed sets of HTML element and attribute names.
@@ -24,6 +24,9 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social sidebar aside widget related recommended recommendations menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar comment comments disqus reply replies respond login search toolbar copyright legal skip teaser outbrain taboola".split()
 )
+#: Within main content, these name parts of an article too, and a compound name says boilerplate only with the last of these.
+MILD_WORDS = frozenset("header footer notice notices alert related legal copyright skip topbar masthead reply replies respond search login".split())
+HOLDERS = frozenset("bar block box button buttons container form inner item items link links list panel row section unit wrap wrapper area slot tools".split())
 #: An opening tag of the first kind ends an open element of the second kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody"), "option": ("option",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",)}
@@ -45,15 +48,25 @@ class Block:
     text: str
 
 
-def _style(tag: str, attributes: str) -> tuple[str, bool, bool]:
+def _says_noise(names: list[str], inside: bool) -> bool:
+    """Whether a class or id says boilerplate; inside: within main content, where a word within a name is no proof."""
+    for n in names:
+        words = {w for w in re.split(r"[-_]+", re.sub(r"([a-z])(?=[A-Z0-9])", r"\1-", n)) if w}
+        if not inside and not words.isdisjoint(NOISE_WORDS):
+            return True
+        if inside and words <= NOISE_WORDS | HOLDERS and not words.isdisjoint(NOISE_WORDS - MILD_WORDS):
+            return True
+    return False
+
+
+def _style(tag: str, attributes: str, inside: bool = False) -> tuple[str, bool, bool]:
     """(style of an element, whether its name says boilerplate, whether it says main content)."""
     if not attributes.strip():
         return tag, tag in NOISE, tag in ("article", "main")
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     names = sorted({*found.get("class", "").lower().split(), *found.get("id", "").lower().split()})
-    words = {w for n in names for w in re.split(r"[-_]+", re.sub(r"([a-z])(?=[A-Z0-9])", r"\1-", n))}
     role = found.get("role", "").lower()
-    noise = tag in NOISE or role in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or (tag not in HEADINGS and tag not in ("body", "html", "article", "main") and not words.isdisjoint(NOISE_WORDS))
+    noise = tag in NOISE or role in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or (tag not in HEADINGS and tag not in ("body", "html", "article", "main") and _says_noise(names, inside))
     main = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
     return tag + "".join("." + re.sub(r"\d+", "#", n) for n in names), noise, main
 
@@ -81,9 +94,9 @@ def blocks(source: str | None) -> tuple[list[Block], dict[str, list[str]]]:
             if stack[i][0] in stop:
                 return
 
-    at = 0
+    at, last = 0, source.rfind(">")
     while at < len(source):
-        m = _TOKEN.search(source, at)
+        m = _TOKEN.search(source, at) if at <= last or source.find("<!--", at) >= 0 else None  # no tag ends any more
         text.append(html.unescape(source[at : m.start() if m else len(source)]))
         if not m:
             break
@@ -109,12 +122,12 @@ def blocks(source: str | None) -> tuple[list[Block], dict[str, list[str]]]:
             pop_to(("p",), ("article", "section", "div", "li", "td", "th", "blockquote", "body"))
             if tag in ENDS:
                 pop_to(ENDS[tag], _SCOPE.get(tag, ()))
-            style, noise, main = _style(tag, m[3])
-            path = f"{stack[-1][1]}/{style}"
+            inside = stack[-1][3]
+            style, noise, main = _style(tag, m[3], inside)
+            path = f"{key(stack[-1][1], style):x}"  # of a fixed length, however deep the elements nest
             runs = children.setdefault(stack[-1][1], [])
             if not runs or runs[-1] != style:
                 runs.append(style)
-            inside = stack[-1][3]
             noise = stack[-1][2] or (noise and not (inside and tag == "header"))
             if tag not in VOID:
                 stack.append((tag, path, noise, inside or main))

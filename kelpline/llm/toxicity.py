@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from kelpline.llm.store import tidy
 from kelpline.llm.words import HashIndex, blocks, hash_words, mix, shingle_sets, terms_of
 
-#: Rows that the labelled sample is drawn for, by hash of doc_id (never more than four times as many).
+#: Labelled documents that the sample is drawn for, by hash of doc_id, with one text each.
 TRAIN_ROWS = 8000
 #: Terms kept, texts that a term must be in, its least share of toxic ones among them, and how many terms may pass by chance.
 TERMS, LEAST_TEXTS, LEAST_SHARE, CHANCE = 2048, 4, 0.5, 0.01
@@ -141,11 +141,14 @@ def _texts(docs: DataFrame, *columns) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalModel:
-    """Fit on at most `rows` labelled documents, chosen by hash, so that reruns agree. The sample is all that is collected."""
+    """Fit on about `rows` labelled documents, chosen by hash, so that reruns agree. The sample is all that is collected.
+
+    Of rows that share a doc_id the least text is the document's.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).dropna()
     share = min(1.0, rows / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = _texts(docs).join(chosen, "doc_id").select("text", "y").limit(4 * rows).collect()
+    found = _texts(docs).join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y").collect()
     return fit([(bytes(r.text) if r.text is not None else None, r.y) for r in found])
 
 

@@ -81,3 +81,19 @@ def test_tables(spark, odd_docs, no_docs):
 def test_no_words_at_all():
     assert ItemIndex([]).search([b"a b c", None]) == [] and ItemIndex([(1, words(20, 1).encode())]).search([None, b"", b" "]) == []
     assert np.array_equal(ItemIndex([]).sizes, [])
+
+
+def test_short_long_and_unspaced_items():
+    """Items of under five words match word for word, Han and kana by character, and one long item does not widen the others."""
+    import random
+
+    r = random.Random(4)
+
+    def text(n: int) -> str:
+        return " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+    items = [(i, text(20)) for i in range(500)] + [(900, text(20_000)), (901, "short one"), (902, "こんにちは世界")]
+    index = ItemIndex([(i, t.encode()) for i, t in items])
+    texts = [f"{text(30)} {items[5][1]} short one x", "前こんにちは世界後", "one short", text(50)]
+    found = [(t, index.names[i][0], e, s) for t, i, e, s in index.search([t.encode() for t in texts])]
+    assert found == [(0, 5, 0, 30), (0, 901, 0, 50), (1, 902, 0, 1)]

@@ -50,3 +50,22 @@ def test_copies_of_a_page_do_not_cut_the_bodies_of_others(spark):
     assert all(got[i] == f"Body {min(i, 100)} of a page" for i in range(1000))
     assert all(got[2000 + i] == "Same body" for i in range(20))
     assert {x.page_id: x.text for x in main_text(pages, held=0).collect()} == got
+
+
+def test_long_and_deep_sources_take_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    page, _ = blocks("<a b " * 200_000)
+    assert len(page) == 1
+    assert [b.text for b in blocks("<div>" * 40_000 + "x")[0]] == ["x"]
+    assert time.process_time() - began < 20
+
+
+def test_names_within_an_article_are_read_whole(spark):
+    """A title block, related work and a section of notices stay; share buttons and comments go."""
+    html = """<article><div class="article-header"><h1>Title {0}</h1></div><p>Body {0}</p><div class="related-work"><p>Work {0}</p></div>
+<section id="notices"><p>Notice {0}</p></section><div class="share-buttons">Share</div><div class="comment-list"><p>Nice {0}</p></div></article>"""
+    rows = [(i, "http://h.org/", html.format(i)) for i in range(20)]
+    got = {x.page_id: x.text for x in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\n\nBody {i}\n\nWork {i}\n\nNotice {i}" for i in range(20))

@@ -66,3 +66,15 @@ def test_odd_rows(odd_docs, no_docs):
 def test_plan_is_native(odd_docs):
     plan = candidates(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow")) and len(KINDS) == 9
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    import time
+
+    unit = "mail bob@example.com or 10.0.0.1 now. "
+    rows = spark.createDataFrame([(1, unit * 20_000)], "doc_id long, text string")
+    began = time.time()
+    (got,) = find_personal_data(rows).select("n_email", "n_ip", "spans").collect()
+    assert (got.n_email, got.n_ip) == (20_000, 20_000) and time.time() - began < 120
+    last = len(unit) * 19_999
+    assert got.spans.split(",")[-2:] == [f"email:{last + 5}:{last + 20}", f"ip:{last + 24}:{last + 32}"]
