@@ -141,15 +141,29 @@ def _texts(docs: DataFrame, *columns) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalModel:
-    """Fit on about `rows` labelled documents, chosen by hash, so that reruns agree. The sample is all that is collected.
+    """Fit on about `rows` labelled documents, chosen by hash, so that reruns agree. One task fits the
+    sample, whose size is bounded; the driver gets the model alone.
 
     Of rows that share a doc_id the least text is the document's.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).dropna()
     share = min(1.0, rows / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = _texts(docs).join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y").collect()
-    return fit([(bytes(r.text) if r.text is not None else None, r.y) for r in found])
+    found = _texts(docs).join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
+    model = found.repartition(1).mapInArrow(_fit, "terms binary, weights binary, theta binary").first()
+    if model is None:
+        return fit([])
+    return OrdinalModel(np.frombuffer(bytes(model.terms), np.uint64), np.frombuffer(bytes(model.weights)), np.frombuffer(bytes(model.theta)))
+
+
+@tidy
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole sample (text, y) -> one row with the model's arrays."""
+    rows = []
+    for batch in batches:
+        rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+    model = fit(rows)
+    yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (model.index.keys, model.weights, model.theta)], names=["terms", "weights", "theta"])
 
 
 def _score(model: OrdinalModel):
