@@ -104,15 +104,14 @@ family.sql(
 
 
 _R5_SQL = f"""WITH {Q.CHUNK_HITS.replace("tp_", "cp_").replace("scored", "c_scored").replace("picked", "c_picked").replace("ranked", "c_ranked").replace("qt AS", "c_qt AS").replace("JOIN qt", "JOIN c_qt").replace("toks", "c_toks").replace("stats", "c_stats").replace("post AS", "c_post AS").replace("FROM post", "FROM c_post").replace("dfs", "c_dfs")},
-{Q.FILE_HITS.removeprefix(X.FILES + ", ")}, wide AS (SELECT * FROM c_ranked WHERE query_id % 4 <> 0)
-SELECT query_id, path, score, 'chunks' AS strategy FROM wide UNION ALL SELECT query_id, path, score, 'files' FROM ranked WHERE query_id NOT IN (SELECT query_id FROM wide)"""
+{Q.FILE_HITS.removeprefix(X.FILES + ", ")}
+SELECT query_id, path, score, 'chunks' AS strategy FROM c_ranked UNION ALL SELECT query_id, path, score, 'files' FROM ranked WHERE query_id NOT IN (SELECT query_id FROM c_ranked)"""
 
 
 @family.add("r5_lexical_fallback", _R5_SQL)
 def r5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk hits of each query that has any, else its file hits; the chunk index here does not answer every fourth query."""
-    chunk_queries = X.queries(spark, sf_dir).filter("query_id % 4 <> 0")
-    hits = fts.two_phase(fts.bm25(X.chunks(spark, sf_dir), ["path", "chunk_index"], "code", chunk_queries), ["path", "chunk_index"], 40)
+    """Chunk hits of each query that has any, else its file hits."""
+    hits = fts.two_phase(fts.bm25(X.chunks(spark, sf_dir), ["path", "chunk_index"], "code", X.queries(spark, sf_dir)), ["path", "chunk_index"], 40)
     files = Q.file_hits(spark, sf_dir).select("query_id", "path", "score", F.lit("files").alias("strategy"))
     return fusion.fallback(hits.select("query_id", "path", "score", F.lit("chunks").alias("strategy")), files)
 
