@@ -112,14 +112,6 @@ def pf9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_NAMES, d=X.load(spark, sf_dir, "documents")).select("doc_id", contracts.barrel(F.col("path")).alias("barrel"))
 
 
-family.sql(
-    "x4_receiver_types", {"s": X.symbols}, "SELECT m.id AS call, t.id AS receiver, m.name FROM {s} m JOIN {s} t ON t.file_path = m.file_path AND t.type = m.type AND t.start_line = m.end_line AND t.id <> m.id",
-    f"WITH {X.SYMBOLS} SELECT m.id AS call, t.id AS receiver, m.name FROM symbols m JOIN symbols t ON t.file_path = m.file_path AND t.type = m.type AND t.start_line = m.end_line AND t.id <> m.id",
-)
-family.sql(
-    "x5_property_access", {"s": X.symbols, "e": X.edges}, "SELECT DISTINCT e.from_id, p.id AS to_id, CASE WHEN p.start_line % 2 = 0 THEN 'write' ELSE 'read' END AS mode, 0.8D AS confidence FROM {e} e JOIN {s} o ON o.id = e.to_id AND e.type = 'IMPORTS' JOIN {s} p ON p.name = o.name AND p.type = o.type",
-    f"WITH {X.SYMBOLS}, {X.EDGES} SELECT DISTINCT e.from_id, p.id AS to_id, CASE WHEN p.start_line % 2 = 0 THEN 'write' ELSE 'read' END AS mode, 0.8::DOUBLE AS confidence FROM edges e JOIN symbols o ON o.id = e.to_id AND e.type = 'IMPORTS' JOIN symbols p ON p.name = o.name AND p.type = o.type",
-)
 _SLOT = "SELECT event_id, project_id, wait FROM (SELECT event_id, project_id, greatest(0, coalesce(max(t - 40 * n) OVER (PARTITION BY project_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 40 * n, 0) - t) AS wait FROM (SELECT event_id, project_id, {ms} AS t, row_number() OVER (PARTITION BY project_id ORDER BY event_id) AS n FROM {u}))"
 family.sql(
     "st7_rate_slots", {"u": X.usage}, _SLOT.replace("{ms}", "event_id * 7"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpline.operators import graph as G
+from kelpline.operators import members as M
 from kelpline.plans.registry import Family
 from kelpline.sources import diffs
 from kelpline.sources import fixtures as X
@@ -33,10 +34,18 @@ family.sql(
     "g1_symbol_lookup", S, "SELECT name, id, file_path, start_line FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY exported DESC, file_path, start_line, id) AS n FROM {s}) WHERE n <= 5",
     f"WITH {X.SYMBOLS} SELECT name, id, file_path, start_line FROM symbols QUALIFY row_number() OVER (PARTITION BY name ORDER BY exported DESC, file_path, start_line, id) <= 5",
 )
-family.sql(
-    "j3_owner_member_self_join", S, "SELECT o.id AS owner, m.id AS member FROM (SELECT o.id, m.id AS mid, row_number() OVER (PARTITION BY o.id ORDER BY m.exported DESC, m.start_line, m.id) AS n FROM {s} o JOIN {s} m ON m.type = 'Function' AND m.start_line = o.start_line WHERE o.type = 'Class') x JOIN {s} o ON o.id = x.id JOIN {s} m ON m.id = x.mid WHERE n = 1",
-    f"WITH {X.SYMBOLS} SELECT o.id AS owner, m.id AS member FROM symbols o JOIN symbols m ON m.type = 'Function' AND m.start_line = o.start_line WHERE o.type = 'Class' QUALIFY row_number() OVER (PARTITION BY o.id ORDER BY m.exported DESC, m.start_line, m.id) = 1",
-)
+# Asks for members of classes by name: in a file, in a language, or anywhere.
+_ASKS = "SELECT p_partkey AS request_id, concat('C', cast(p_partkey % 9 AS string)) AS owner, concat('m', cast(p_size % 4 AS string)) AS member, CASE WHEN p_partkey % 3 = 0 THEN concat('src/lib/', cast(p_partkey % 5 AS string), '.ts') END AS file_path, CASE WHEN p_partkey % 5 = 0 THEN 'go' WHEN p_partkey % 5 = 1 THEN 'typescript' END AS language FROM {p}"
+
+
+@family.add(
+    "j3_owner_member_self_join",
+    f"""WITH {X.CLASSES}, a AS ({_ASKS.replace("{p}", "part").replace("AS string", "AS varchar")}) SELECT a.request_id, o.id AS owner_id, m.id AS member_id FROM a, classes o, classes m WHERE o.name = a.owner AND m.name = a.member AND m.parent_id = o.id AND m.type IN ('Method', 'Function')
+AND coalesce(a.file_path, o.file_path) = o.file_path AND coalesce(a.language, o.language) = o.language QUALIFY row_number() OVER (PARTITION BY a.request_id ORDER BY o.exported DESC, o.file_path, m.start_line, m.id) = 1""",
+)
+def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.find_members(spark.sql(_ASKS, p=X.load(spark, sf_dir, "part")), X.classes(spark, sf_dir))
+
 
 _REQ = "SELECT id AS request_id, CASE WHEN start_line % 3 = 0 THEN id ELSE concat('x', id) END AS exact_id, file_path AS file, name, language FROM {s} WHERE type <> 'Module'"
 
@@ -127,15 +136,11 @@ def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @family.add(
     "g6_transitive_closure",
-    f"WITH RECURSIVE {X.EDGES}, w AS (SELECT 's' || s_suppkey AS seed, 's' || s_suppkey AS node, 0 AS depth FROM supplier UNION SELECT w.seed, e.to_id, w.depth + 1 FROM w JOIN edges e ON e.from_id = w.node WHERE w.depth < 8) SELECT seed, node, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY seed, node",
+    f"WITH RECURSIVE {X.EDGES}, w AS (SELECT 's' || s_suppkey AS seed, 's' || s_suppkey AS node, 0 AS depth FROM supplier UNION SELECT w.seed, e.to_id, w.depth + 1 FROM w JOIN edges e ON e.from_id = w.node) SELECT seed, node, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY seed, node",
 )
 def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything a supplier leads to, with its least distance, by a recursive query with a depth guard."""
-    return spark.sql(
-        """WITH RECURSIVE w(seed, node, depth) AS (SELECT seed, seed, 0 FROM {s} UNION ALL SELECT w.seed, e.to_id, w.depth + 1 FROM w JOIN {e} e ON e.from_id = w.node WHERE w.depth < 8)
-        SELECT seed, node, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY seed, node""",
-        s=_seeds(spark, sf_dir), e=X.edges(spark, sf_dir).filter("type IN ('EXTENDS', 'HAS_METHOD')"),
-    )
+    """Everything a supplier leads to, with its least distance, until a step finds nothing new."""
+    return G.impact(X.edges(spark, sf_dir), _seeds(spark, sf_dir)).select("seed", "node", "depth")
 
 
 family.sql(
@@ -144,16 +149,25 @@ family.sql(
 )
 
 
+# Changes in files of parts and of suppliers.
+_TOUCHED = "SELECT concat(CASE WHEN l_linenumber % 2 = 0 THEN 'src/lib/' ELSE 'src/api/' END, cast(CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey % 50 ELSE l_partkey % 50 END AS string), '.ts') AS file_path, cast(l_suppkey % 200 + l_linenumber AS int) AS line FROM {} WHERE l_discount > 0.09 GROUP BY 1, 2"
+
+
 @family.add(
     "g8_change_impact",
-    f"""WITH {X.SYMBOLS}, {X.EDGES}, c AS ({_CHANGES.format("lineitem").replace("string", "varchar")}), h AS (SELECT DISTINCT s.id, s.file_path FROM symbols s JOIN c ON c.file_path = s.file_path AND c.line BETWEEN s.start_line AND s.end_line),
-t AS (SELECT h.file_path, count(DISTINCT h.id) AS changed, count(DISTINCT e.from_id) AS touched FROM h LEFT JOIN edges e ON e.to_id = h.id GROUP BY h.file_path)
-SELECT *, CASE WHEN touched > 20 OR changed > 10 THEN 'HIGH' WHEN touched > 5 OR changed > 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM t""",
+    f"""WITH RECURSIVE {X.SYMBOLS}, {X.EDGES}, c AS ({_TOUCHED.format("lineitem").replace("string", "varchar")}), h AS (SELECT DISTINCT s.id, s.file_path FROM symbols s JOIN c ON c.file_path = s.file_path AND c.line BETWEEN s.start_line AND s.end_line),
+i AS (SELECT from_id AS a, to_id AS b, 'down' AS way FROM edges WHERE from_id IN (SELECT id FROM symbols) AND to_id IN (SELECT id FROM symbols) UNION SELECT to_id, from_id, 'up' FROM edges WHERE from_id IN (SELECT id FROM symbols) AND to_id IN (SELECT id FROM symbols)),
+w AS (SELECT DISTINCT h.id AS seed, h.id AS node, v.way, 0 AS depth FROM h, (VALUES ('up'), ('down')) v(way) UNION SELECT w.seed, i.b, w.way, w.depth + 1 FROM w JOIN i ON i.a = w.node AND i.way = w.way WHERE w.depth < 3),
+n AS (SELECT seed, way, node, min(depth) AS depth FROM w GROUP BY ALL), g AS (SELECT seed, count(*) FILTER (WHERE depth = 1) AS d1, count(*) FILTER (WHERE depth = 2) AS d2, count(*) FILTER (WHERE depth = 3) AS d3 FROM n GROUP BY seed),
+u AS (SELECT to_id AS id, count(*) AS n FROM edges GROUP BY to_id), d AS (SELECT from_id AS id, count(*) AS n FROM edges GROUP BY from_id),
+t AS (SELECT h.file_path, count(*) AS symbols, CAST(sum(coalesce(u.n, 0)) AS BIGINT) AS upstream, CAST(sum(coalesce(d.n, 0)) AS BIGINT) AS downstream, CAST(sum(coalesce(g.d1, 0)) AS BIGINT) AS direct_break, CAST(sum(coalesce(g.d2, 0)) AS BIGINT) AS likely_affected, CAST(sum(coalesce(g.d3, 0)) AS BIGINT) AS needs_testing
+  FROM h LEFT JOIN u ON u.id = h.id LEFT JOIN d ON d.id = h.id LEFT JOIN g ON g.seed = h.id GROUP BY h.file_path)
+SELECT *, CASE WHEN upstream + downstream >= 8 OR symbols >= 4 THEN 'HIGH' WHEN upstream + downstream >= 3 OR symbols >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM t""",
 )
 def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = j8(spark, sf_dir).select(F.col("id").alias("to_id"), "file_path")
-    t = hit.join(X.edges(spark, sf_dir), "to_id", "left").groupBy("file_path").agg(F.count_distinct("to_id").alias("changed"), F.count_distinct("from_id").alias("touched"))
-    return t.withColumn("risk", G.risk(F.col("changed"), F.col("touched")))
+    """Symbols of changed lines, and how far what depends on them and what they depend on reaches."""
+    touched = spark.sql(_TOUCHED.format("{l}"), l=X.load(spark, sf_dir, "lineitem"))
+    return G.change_impact(G.symbols_at(touched, X.symbols(spark, sf_dir)), X.edges(spark, sf_dir), X.symbols(spark, sf_dir))
 
 
 family.sql(
@@ -231,18 +245,70 @@ def x16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.duplicate_processes(sc14(spark, sf_dir))
 
 
-family.sql(
-    "x1_import_edges", S, "SELECT DISTINCT a.id AS from_id, concat('external:ts:', b.name) AS to_id, 'IMPORTS' AS type FROM {s} a JOIN {s} b ON b.file_path = a.file_path AND a.type = 'Class' AND b.exported",
-    f"WITH {X.SYMBOLS} SELECT DISTINCT a.id AS from_id, 'external:ts:' || b.name AS to_id, 'IMPORTS' AS type FROM symbols a JOIN symbols b ON b.file_path = a.file_path AND a.type = 'Class' AND b.exported",
-)
+_IMPORTED = "SELECT concat('src/lib/', cast(floor(l_suppkey / 4) AS int), '.ts') AS file_path, concat('./n', cast(l_partkey % 7 AS string)) AS source, concat('b', cast(l_linenumber AS string)) AS binding FROM {l}"
+
+
+@family.add(
+    "x1_import_edges",
+    f"WITH {X.CLASSES}, i AS ({_IMPORTED.replace('{l}', 'lineitem').replace('AS string', 'AS varchar')}) SELECT DISTINCT c.id AS from_id, 'external:typescript:' || c.file_path || ':import:' || i.source || ':' || i.binding AS to_id, 'IMPORTS' AS type, 0.6::DOUBLE AS confidence, i.source AS reason FROM classes c JOIN i ON i.file_path = c.file_path WHERE c.type = 'Class'",
+)
+def x1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.import_edges(X.classes(spark, sf_dir), spark.sql(_IMPORTED, l=X.load(spark, sf_dir, "lineitem")))
+
+
 family.sql(
     "x2_same_file_call_resolution", ES, "SELECT c.from_id, c.callee, coalesce(t.id, concat('external:', c.callee)) AS target, CASE WHEN t.id IS NOT NULL THEN 1.0D WHEN c.typed THEN 0.75D ELSE 0.5D END AS confidence FROM (SELECT DISTINCT s.file_path AS f, e.from_id, concat(s.name, CASE WHEN s.start_line % 4 = 0 THEN '?' ELSE '' END) AS callee, s.start_line % 8 = 0 AS typed FROM {e} e JOIN {s} s ON s.id = e.to_id WHERE e.type = 'CALLS') c LEFT JOIN (SELECT file_path, name, min_by(id, struct(start_line, id)) AS id FROM {s} GROUP BY file_path, name) t ON t.file_path = c.f AND t.name = c.callee",
     f"WITH {X.EDGES}, {X.SYMBOLS}, c AS (SELECT DISTINCT s.file_path AS f, e.from_id, s.name || CASE WHEN s.start_line % 4 = 0 THEN '?' ELSE '' END AS callee, s.start_line % 8 = 0 AS typed FROM edges e JOIN symbols s ON s.id = e.to_id WHERE e.type = 'CALLS'), t AS (SELECT file_path, name, first(id ORDER BY start_line, id) AS id FROM symbols GROUP BY file_path, name) SELECT c.from_id, c.callee, coalesce(t.id, 'external:' || c.callee) AS target, CASE WHEN t.id IS NOT NULL THEN 1.0 WHEN c.typed THEN 0.75 ELSE 0.5 END::DOUBLE AS confidence FROM c LEFT JOIN t ON t.file_path = c.f AND t.name = c.callee",
 )
-family.sql(
-    "x3_override_edges", S, "SELECT DISTINCT a.id AS from_id, b.id AS to_id, 'METHOD_OVERRIDES' AS type, 0.9D AS confidence FROM {s} a JOIN {s} b ON b.name = a.name AND b.end_line = a.end_line AND b.id <> a.id WHERE a.type = 'Function' AND b.exported",
-    f"WITH {X.SYMBOLS} SELECT DISTINCT a.id AS from_id, b.id AS to_id, 'METHOD_OVERRIDES' AS type, 0.9::DOUBLE AS confidence FROM symbols a JOIN symbols b ON b.name = a.name AND b.end_line = a.end_line AND b.id <> a.id WHERE a.type = 'Function' AND b.exported",
-)
+_HERITAGE = "SELECT concat('c', cast(s_suppkey AS string)) AS owner_id, CASE WHEN s_suppkey % 3 = 0 THEN 'IMPLEMENTS' ELSE 'EXTENDS' END AS relation, concat('C', cast((s_suppkey + 1 + s_nationkey % 2) % 8 AS string)) AS base FROM {s}"
+
+
+@family.add(
+    "x3_override_edges",
+    f"""WITH {X.CLASSES}, h AS ({_HERITAGE.replace("{s}", "supplier").replace("AS string", "AS varchar")}), k AS (SELECT h.*, o.file_path, (SELECT arg_min(b.id, b.start_line) FROM classes b WHERE b.file_path = o.file_path AND b.name = h.base) AS base_id FROM h JOIN classes o ON o.id = h.owner_id)
+SELECT owner_id AS from_id, coalesce(base_id, 'external:typescript:' || file_path || ':' || lower(relation) || ':' || base) AS to_id, relation AS type, CASE WHEN base_id IS NULL THEN 0.7 ELSE 0.95 END::DOUBLE AS confidence FROM k
+UNION ALL SELECT m.id, b.id, CASE relation WHEN 'EXTENDS' THEN 'METHOD_OVERRIDES' ELSE 'METHOD_IMPLEMENTS' END, 0.9::DOUBLE FROM k JOIN classes m ON m.parent_id = k.owner_id AND m.type = 'Method' JOIN classes b ON b.parent_id = k.base_id AND b.type = 'Method' AND b.name = m.name QUALIFY row_number() OVER (PARTITION BY m.id ORDER BY b.start_line DESC) = 1""",
+)
+def x3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bases of classes, in their file or outside, and the methods that override or implement a base's."""
+    return M.heritage_edges(X.classes(spark, sf_dir), spark.sql(_HERITAGE, s=X.load(spark, sf_dir, "supplier")))
+
+
+_USES = "SELECT concat('c', cast(l_suppkey AS string), '.', cast((l_linenumber - 1) % 4 + 1 AS string)) AS from_id, concat('p', cast(l_orderkey % 3 AS string)) AS name, CASE WHEN l_returnflag = 'R' THEN 'write' ELSE 'read' END AS mode FROM {l}"
+
+
+@family.add(
+    "x5_property_access",
+    f"WITH {X.CLASSES}, u AS ({_USES.replace('{l}', 'lineitem').replace('AS string', 'AS varchar')}) SELECT DISTINCT u.from_id, p.id AS to_id, 'ACCESSES' AS type, 0.8::DOUBLE AS confidence, u.mode || ':' || u.name AS reason FROM u JOIN classes m ON m.id = u.from_id JOIN classes p ON p.parent_id = m.parent_id AND p.name = u.name AND p.type = 'Variable'",
+)
+def x5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.access_edges(X.classes(spark, sf_dir), spark.sql(_USES, l=X.load(spark, sf_dir, "lineitem")))
+
+
+# Facts of method bodies: declared types, results of calls, assigned names.
+_FACTS = "SELECT concat('c', cast(l_suppkey AS string), '.', cast((l_linenumber - 1) % 4 + 1 AS string)) AS scope_id, l_orderkey * 10 + l_linenumber AS position, concat(CASE WHEN l_partkey % 5 = 0 THEN 'this.p' ELSE 'v' END, cast(l_partkey % 4 AS string)) AS key, CASE WHEN cast(l_quantity AS int) % 3 = 0 THEN concat('T', cast(l_partkey % 7 AS string)) END AS type_name, CASE WHEN cast(l_quantity AS int) % 3 = 1 THEN concat('m', cast(l_partkey % 4 AS string)) END AS callee, CASE WHEN cast(l_quantity AS int) % 3 = 2 THEN concat('v', cast(l_orderkey % 4 AS string)) END AS value FROM {l}"
+
+
+@family.add(
+    "x4_receiver_types",
+    f"""WITH RECURSIVE {X.CLASSES}, f AS ({_FACTS.replace("{l}", "lineitem").replace("AS string", "AS varchar")}), r AS (SELECT file_path, name, arg_min(returns, start_line) AS returned FROM classes WHERE returns IS NOT NULL GROUP BY ALL),
+s AS (SELECT id, parent_id, file_path, CAST(substr(parent_id, 2) AS INTEGER) AS k FROM classes WHERE type = 'Method'),
+t AS (SELECT f.scope_id, f.key, coalesce(f.type_name, r.returned) AS type_name, f.value, row_number() OVER (PARTITION BY f.scope_id ORDER BY f.position, f.key, coalesce(f.type_name, r.returned) NULLS FIRST, f.value NULLS FIRST) AS n FROM f JOIN s ON s.id = f.scope_id LEFT JOIN r ON r.file_path = s.file_path AND r.name = f.callee),
+w AS (SELECT id AS scope_id, 0::BIGINT AS n, CASE WHEN k % 2 = 0 THEN map(['this.p1', 'this.p0'], ['K' || (k % 4), 'D' || (k % 3)]) ELSE map(['this.p1', 'this.p0'], ['D' || (k % 3), 'D' || (k % 3)]) END AS m FROM s
+  UNION ALL SELECT w.scope_id, t.n, CASE WHEN coalesce(t.type_name, w.m[t.value]) IS NULL THEN w.m ELSE map_concat(w.m, map([t.key], [coalesce(t.type_name, w.m[t.value])])) END FROM w JOIN t ON t.scope_id = w.scope_id AND t.n = w.n + 1),
+z AS (SELECT scope_id, arg_max(m, n) AS m FROM w GROUP BY scope_id) SELECT scope_id, unnest(map_keys(m)) AS key, unnest(map_values(m)) AS type_name FROM z""",
+)
+def x4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of the names in every method: properties as declared or constructed, then what its body says in order."""
+    c = X.classes(spark, sf_dir)
+    number = F.substring("parent_id", 2, 20).cast("int")
+    scopes = c.filter("type = 'Method'").select(F.col("id").alias("scope_id"), F.col("parent_id").alias("owner_id"), "file_path")
+    declared = c.filter("type = 'Variable'").select(F.col("parent_id").alias("owner_id"), "name", F.concat(F.lit("D"), (number % 3).cast("string")).alias("type_name"), F.lit(False).alias("constructed"))
+    built = c.filter((F.col("type") == "Variable") & (F.col("name") == "p1") & (number % 2 == 0)).select(F.col("parent_id").alias("owner_id"), "name", F.concat(F.lit("K"), (number % 4).cast("string")).alias("type_name"), F.lit(True).alias("constructed"))
+    returns = c.filter("returns IS NOT NULL").groupBy("file_path", F.col("name").alias("callee")).agg(F.min_by("returns", F.struct("start_line", "id")).alias("type_name"))
+    return M.receiver_types(scopes, declared.union(built), spark.sql(_FACTS, l=X.load(spark, sf_dir, "lineitem")), returns)
+
+
 family.sql(
     "j15_graph_recall", {**ES, "p": lambda s, d: X.load(s, d, "part")},
     "WITH m AS (SELECT t.term, s.id, CASE WHEN s.name = t.term THEN 1.0D ELSE 0.8D END AS score FROM (SELECT DISTINCT explode(split(p_name, ' ')) AS term FROM {p}) t JOIN (SELECT id, name, explode(split(name, ' ')) AS w FROM {s}) s ON s.w = t.term), r AS (SELECT m.term, s.file_path, m.score FROM m JOIN {s} s ON s.id = m.id UNION ALL SELECT m.term, s.file_path, m.score * 0.75 FROM m JOIN {e} e ON e.from_id = m.id JOIN {s} s ON s.id = e.to_id) SELECT term, file_path, round(max(score), 6) AS score FROM r GROUP BY term, file_path",

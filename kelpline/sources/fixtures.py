@@ -152,3 +152,19 @@ FEATURES = """features AS (SELECT p_partkey AS feature_id, p_name AS name, CASE
   'src/' || lower(replace(p_brand, '#', '')) AS dir, ['f' || (p_partkey % 40) || '.ts'] AS files, string_split(p_type, ' ') AS exports,
   CASE WHEN p_size % 10 = 0 THEN 'suggested' WHEN p_size % 3 = 0 THEN 'agent-inferred' ELSE 'human-confirmed' END AS confirmation_status,
   CAST(DATE '2024-01-01' + CAST(p_partkey % 365 AS INTEGER) AS DATE) AS updated_at FROM part)"""
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier as classes, four to a file, each with four methods and two properties below it."""
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_nationkey") % 2 == 0).alias("exported"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("j"))
+    return s.selectExpr(
+        "concat('c', k, CASE WHEN j = 0 THEN '' ELSE concat('.', j) END) AS id", "CASE WHEN j = 0 THEN concat('C', k % 8) WHEN j < 5 THEN concat('m', k * j % 3) ELSE concat('p', j % 2) END AS name",
+        "CASE WHEN j = 0 THEN 'Class' WHEN j < 5 THEN 'Method' ELSE 'Variable' END AS type", "concat('src/lib/', k div 4, '.ts') AS file_path", "'typescript' AS language", "exported",
+        "CASE WHEN j > 0 THEN concat('c', k) END AS parent_id", "cast(k % 4 * 100 + j * 10 AS int) AS start_line", "CASE WHEN j BETWEEN 1 AND 4 AND (k + j) % 3 > 0 THEN concat('R', j) END AS returns",
+    )
+
+
+CLASSES = """classes AS (SELECT 'c' || k || CASE WHEN j = 0 THEN '' ELSE '.' || j END AS id, CASE WHEN j = 0 THEN 'C' || (k % 8) WHEN j < 5 THEN 'm' || (k * j % 3) ELSE 'p' || (j % 2) END AS name,
+  CASE WHEN j = 0 THEN 'Class' WHEN j < 5 THEN 'Method' ELSE 'Variable' END AS type, 'src/lib/' || (k // 4) || '.ts' AS file_path, 'typescript' AS language, exported,
+  CASE WHEN j > 0 THEN 'c' || k END AS parent_id, CAST(k % 4 * 100 + j * 10 AS INTEGER) AS start_line, CASE WHEN j BETWEEN 1 AND 4 AND (k + j) % 3 > 0 THEN 'R' || j END AS returns
+  FROM (SELECT s_suppkey AS k, s_nationkey % 2 = 0 AS exported, unnest(range(0, 7)) AS j FROM supplier))"""

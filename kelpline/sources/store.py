@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -15,3 +15,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         root = f"file://{tempfile.mkdtemp(prefix='kelpline-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/kelpline/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written under the shared folder and read again: a short plan that outlives executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
