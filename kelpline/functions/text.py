@@ -34,6 +34,12 @@ def normal_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^\./", "")
 
 
+def path_tokens(path: Column) -> Column:
+    """Lower-cased letters-and-digits parts of a path in order, cut at camel case too; repeats stay."""
+    spaced = F.regexp_replace(path, "([a-z0-9])([A-Z])", "$1 $2")
+    return F.filter(F.split(F.lower(spaced), "[^a-z0-9]+"), lambda t: t != "")
+
+
 def module_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(F.lower(name)), r"[\s_]+", "-"), "-+", "-")
 

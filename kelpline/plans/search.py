@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpline.functions import intent as N
 from kelpline.functions import text as T
-from kelpline.operators import contracts, fts, fusion, symbols
+from kelpline.operators import contracts, diversity, fts, fusion, symbols
 from kelpline.operators import imports as R
 from kelpline.plans import retrieval as Q
 from kelpline.plans.registry import Family
@@ -116,15 +116,6 @@ def r5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fallback(hits.select("query_id", "path", "score", F.lit("chunks").alias("strategy")), files)
 
 
-@family.add("r8_skeleton_recall", f"WITH {Q.FILE_HITS}, h AS (SELECT query_id, path, max(score) AS score FROM (SELECT query_id, path, score FROM ranked UNION ALL SELECT query_id, path, score * 0.9 FROM ranked WHERE rank % 2 = 0) GROUP BY ALL) SELECT query_id, path, score FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) <= 6")
-def r8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of the file and of the symbol skeletons, merged by their best score a file; six files a query."""
-    h = Q.file_hits(spark, sf_dir)
-    both = h.select("query_id", "path", "score").union(h.filter("rank % 2 = 0").select("query_id", "path", F.col("score") * 0.9))
-    best = both.groupBy("query_id", "path").agg(F.max("score").alias("score"))
-    return fusion.top_k(best, ["query_id"], [F.col("score").desc(), "path"], 6).drop("rank")
-
-
 @family.add("r11_rank_reranker", f"WITH {Q.FILE_HITS} SELECT query_id, path, CASE WHEN rank % 5 = 4 THEN 0.0::DOUBLE ELSE round(1 - rank / count(*) OVER (PARTITION BY query_id), 6) END AS score FROM ranked")
 def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listwise reranker's order as scores: 1 - rank / n, 0 for what it left out."""
@@ -160,26 +151,68 @@ def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.filter("intent <> 'symbol_lookup' OR source = 'lexical'").select("query_id", "key", "score", "intent")
 
 
-@family.add("w10_exploration_candidates", f"WITH {Q.SEEDS} SELECT c.path AS file_path, s.query_id, max(s.score) AS score FROM seeds s JOIN files f ON f.path = s.file_path JOIN files c ON c.doc_id IN (f.doc_id + 1, f.doc_id + 2) AND c.path NOT IN (SELECT file_path FROM seeds z WHERE z.query_id = s.query_id) GROUP BY s.query_id, c.path QUALIFY row_number() OVER (PARTITION BY s.query_id ORDER BY max(s.score) DESC, c.path) <= 5")
+# Chunk rankings in which every third document lies outside src/, and their queries' words.
+_OUT = "regexp_replace(file_path, '^src/(.*[0369][.])', '{}')"
+_SPREAD_SQL = f"""WITH {Q.SCALED}, {Q.TERMS}, ranks AS (SELECT query_id, {_OUT.format(r"lib/\1")} AS file_path, chunk_index, score, position FROM scaled), tops AS (SELECT * FROM ranks WHERE position < 3),
+words AS (SELECT query_id, list_filter(terms, lambda t: length(t) >= 3) AS words FROM terms)"""
+_SHARED_SQL = r"len(list_filter(words, lambda w: len(list_filter(string_split_regex(lower(regexp_replace(file_path, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda p: p <> '' AND (contains(p, w) OR contains(w, p)))) > 0))"
+
+
+def _spread(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ranks = Q.scaled(spark, sf_dir).withColumn("file_path", F.expr(_OUT.format("lib/$1")))
+    words = X.queries(spark, sf_dir).select("query_id", F.array_distinct(T.tokens(F.col("query"))).alias("words"))
+    return ranks, ranks.filter("position < 3"), words
+
+
+@family.add(
+    "w10_exploration_candidates",
+    _SPREAD_SQL
+    + f""", kinds(kind, mod, weight, priority) AS (VALUES ('import', 0, 3, 'high'), ('breadcrumb', 1, 2, 'medium'), ('neighbor', 2, 1, 'low')),
+x AS (SELECT r.*, k.kind AS source, k.weight, k.priority, {_SHARED_SQL} AS overlap FROM ranks r JOIN kinds k ON k.mod = r.position % 3 JOIN words w ON w.query_id = r.query_id WHERE NOT EXISTS (SELECT 1 FROM tops t WHERE t.query_id = r.query_id AND t.file_path = r.file_path)),
+one AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query_id, file_path ORDER BY weight DESC, score DESC) = 1)
+SELECT query_id, file_path, source, priority, CAST(overlap AS INTEGER) AS overlap, score, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, overlap DESC, score DESC, file_path) - 1 AS rank FROM one QUALIFY rank < 5""",
+)
 def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files near a query's seeds that are not seeds, the best five."""
-    s, f = Q.seeds(spark, sf_dir), X.files(spark, sf_dir).select("doc_id", F.col("path").alias("file_path"))
-    near = s.join(f, "file_path").select("query_id", "score", F.explode(F.array(F.col("doc_id") + 1, F.col("doc_id") + 2)).alias("doc_id")).join(f, "doc_id")
-    near = near.join(s.select("query_id", "file_path"), ["query_id", "file_path"], "left_anti").groupBy("query_id", "file_path").agg(F.max("score").alias("score"))
-    return fusion.top_k(near, ["query_id"], [F.col("score").desc(), "file_path"], 5).drop("rank")
+    """Files without a seed, by how they were reached, what their paths share with the query, and score."""
+    ranks, tops, words = _spread(spark, sf_dir)
+    source = F.element_at(F.array(F.lit("import"), F.lit("breadcrumb"), F.lit("neighbor")), (F.col("position") % 3 + 1).cast("int"))
+    return diversity.explore(ranks.withColumn("source", source), tops, words)
 
 
-@family.add("w9_best_per_file", f"WITH {Q.SCALED} SELECT query_id, file_path, chunk_index, score FROM (SELECT * FROM scaled QUALIFY row_number() OVER (PARTITION BY query_id, file_path ORDER BY score DESC, chunk_index) = 1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path) <= 3")
+@family.add(
+    "w9_best_per_file",
+    _SPREAD_SQL
+    + f""", x AS (SELECT r.query_id, r.file_path, max(r.score) AS score, any_value({_SHARED_SQL}) AS overlap FROM ranks r JOIN words w ON w.query_id = r.query_id WHERE r.file_path LIKE 'src/%' AND (r.query_id, r.file_path) NOT IN (SELECT (query_id, file_path) FROM tops) GROUP BY ALL)
+SELECT query_id, file_path, CAST(overlap AS INTEGER) AS overlap, score, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, score DESC, file_path) - 1 AS rank FROM x QUALIFY rank < 3""",
+)
 def w9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = fusion.top_k(Q.scaled(spark, sf_dir), ["query_id", "file_path"], [F.col("score").desc(), "chunk_index"], 1, "n")
-    return fusion.top_k(one, ["query_id"], [F.col("score").desc(), "file_path"], 3).select("query_id", "file_path", "chunk_index", "score")
+    """Three files under src/ that are not packed yet, by what their paths share with the query and best score."""
+    ranks, tops, words = _spread(spark, sf_dir)
+    return diversity.primary_files(ranks, tops, words)
+
+
+_FILL_SQL = (
+    _SPREAD_SQL
+    + """, have AS (SELECT query_id, count(DISTINCT file_path) AS f, count(DISTINCT file_path) FILTER (WHERE file_path LIKE 'src/%') AS s FROM tops GROUP BY query_id),
+fresh AS (SELECT * FROM ranks r WHERE NOT EXISTS (SELECT 1 FROM tops t WHERE t.query_id = r.query_id AND t.file_path = r.file_path) QUALIFY row_number() OVER (PARTITION BY query_id, file_path ORDER BY position) = 1),
+line AS (SELECT z.*, h.f + count(*) OVER w AS f_after, h.s + count(*) FILTER (WHERE z.file_path LIKE 'src/%') OVER w AS s_after, h.f AS f0, h.s AS s0 FROM fresh z JOIN have h ON h.query_id = z.query_id WINDOW w AS (PARTITION BY z.query_id ORDER BY z.file_path NOT LIKE 'src/%', z.position)),
+last AS (SELECT *, coalesce(lag(f_after) OVER v, f0) AS f_before, coalesce(lag(s_after) OVER v, s0) AS s_before FROM line WINDOW v AS (PARTITION BY query_id ORDER BY file_path NOT LIKE 'src/%', position))
+SELECT query_id, file_path, chunk_index, position FROM last WHERE """
+)
 
 
-@family.add("w8_file_diversity_fill", f"WITH {Q.SCALED}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_path ORDER BY position) AS again FROM scaled) SELECT query_id, file_path, chunk_index FROM a QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN again = 1 THEN 0 ELSE 1 END, position) <= 8")
+@family.add("w8_file_diversity_fill", _FILL_SQL + "f_before < 4 OR s_before < 3")
 def w8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight rows a query, the first chunk of every file before any second one."""
-    a = Q.scaled(spark, sf_dir).withColumn("again", F.row_number().over(Window.partitionBy("query_id", "file_path").orderBy("position")))
-    return fusion.top_k(a, ["query_id"], [F.when(F.col("again") == 1, 0).otherwise(1), "position"], 8).select("query_id", "file_path", "chunk_index")
+    """What an architecture query's seeds lack of four files, three of them under src/."""
+    ranks, tops, _ = _spread(spark, sf_dir)
+    return diversity.fill(tops, ranks)
+
+
+@family.add("w8_source_fill", _FILL_SQL + "file_path LIKE 'src/%' AND s_before < 3")
+def w8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a symbol lookup's seeds lack of three files under src/."""
+    ranks, tops, _ = _spread(spark, sf_dir)
+    return diversity.fill(tops, ranks, files=None)
 
 
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
