@@ -114,3 +114,23 @@ def set_cosine(a: Column, b: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / F.size(F.array_union(a, b)))
+
+
+def pairs(text: Column) -> Column:
+    """'k=v | k=v' as a map: pieces without '=' or key are left out, a value keeps its further '=', the last of a key wins."""
+    pieces = F.filter(F.transform(F.split(text, r"\|"), lambda p: F.trim(p)), lambda p: F.instr(p, "=") > 1)
+    both = F.transform(pieces, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.regexp_replace(p, "^[^=]*=", "")).alias("value")))
+    last = F.filter(both, lambda x, i: ~F.exists(F.slice(both, i + 2, F.size(both)), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(last)
+
+
+def base64url(text: Column) -> Column:
+    """UTF-8 text in the URL alphabet of base64, without padding and line breaks."""
+    return F.rtrim(F.translate(F.base64(F.encode(text, "UTF-8")), "+/\r\n", "-_"), F.lit("="))
+
+
+def from_base64url(code: Column) -> Column:
+    """Text of base64url; null where it isn't."""
+    plain = F.translate(code, "-_", "+/")
+    padded = F.concat(plain, F.repeat(F.lit("="), F.pmod(-F.length(plain), F.lit(4))))
+    return F.decode(F.try_to_binary(padded, F.lit("base64")), "UTF-8")

@@ -281,6 +281,23 @@ family.sql(
     "j19_unique_name_lookup", FF, "SELECT name, min(feature_id) AS feature_id, count(*) = 1 AS unique FROM {f} GROUP BY name",
     f"WITH {X.FEATURES} SELECT name, min(feature_id) AS feature_id, count(*) = 1 AS unique FROM features GROUP BY name",
 )
+# Asks for features by path: records, whole paths, bare names, ends of paths.
+_WANTED = "SELECT p_partkey AS request_id, CASE p_partkey % 5 WHEN 0 THEN concat('/features/', replace(p_name, ' ', '-'), '.json') WHEN 1 THEN concat('src\\\\', lower(replace(p_brand, '#', '')), '\\\\f', cast(p_partkey % 40 AS string), '.ts') WHEN 2 THEN concat('f', cast(p_partkey AS string), '.ts') WHEN 3 THEN concat(lower(replace(p_brand, '#', '')), '/f', cast(p_partkey % 40 AS string), '.ts') ELSE concat('brand', cast(p_partkey AS string), '/f1.ts') END AS path FROM {p}"
+
+
+@family.add(
+    "j19_path_lookup",
+    f"""WITH {X.FEATURES}, r AS (SELECT p_partkey AS request_id, p_partkey % 5 AS k, CASE p_partkey % 5 WHEN 0 THEN 'features/' || replace(p_name, ' ', '-') WHEN 1 THEN 'src/' || lower(replace(p_brand, '#', '')) || '/f' || (p_partkey % 40) || '.ts' WHEN 2 THEN 'f' || p_partkey || '.ts' WHEN 3 THEN lower(replace(p_brand, '#', '')) || '/f' || (p_partkey % 40) || '.ts' ELSE 'brand' || p_partkey || '/f1.ts' END AS want FROM part),
+c AS (SELECT feature_id AS id, dir || '/' || files[1] AS path, files[1] AS base, 'features/' || regexp_replace(regexp_replace(trim(lower(name)), '[\\s_]+', '-', 'g'), '-+', '-', 'g') AS record FROM features),
+f AS (SELECT r.request_id, k, min(c.id) AS id, count(*) AS n FROM r JOIN c ON CASE k WHEN 0 THEN c.record = r.want WHEN 1 THEN c.path = r.want WHEN 2 THEN c.base = r.want ELSE c.path LIKE '%/' || r.want END GROUP BY ALL)
+SELECT r.request_id, CASE WHEN f.n = 1 OR f.k < 2 THEN (['record', 'exact', 'basename', 'suffix', 'suffix'])[r.k + 1] END AS tier, CASE WHEN f.n = 1 OR f.k < 2 THEN f.id END AS id FROM r LEFT JOIN f ON f.request_id = r.request_id""",
+)
+def j19b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features by record, whole path, the one file of a name, or the one path with an end."""
+    memories = X.features(spark, sf_dir).select(F.col("feature_id").alias("id"), "name", "dir", "files")
+    return M.find_by_path(spark.sql(_WANTED, p=X.load(spark, sf_dir, "part")), memories)
+
+
 family.sql(
     "x6_handoff_references", {**MM, **FF}, "SELECT ref, kind, coalesce(m.title, f.name) AS title, m.id IS NULL AND f.feature_id IS NULL AS unresolved FROM (SELECT DISTINCT concat(k, ':', i) AS ref, k AS kind, i AS key FROM (SELECT 'memory' AS k, id AS i FROM {m} UNION ALL SELECT 'feature', cast(feature_id * 3 AS string) FROM {f})) LEFT JOIN {m} m ON kind = 'memory' AND m.id = key LEFT JOIN {f} f ON kind = 'feature' AND cast(f.feature_id AS string) = key",
     f"WITH {X.MEMORIES}, {X.FEATURES}, r AS (SELECT DISTINCT k || ':' || i AS ref, k AS kind, i AS key FROM (SELECT 'memory' AS k, id AS i FROM memories UNION ALL SELECT 'feature', CAST(feature_id * 3 AS VARCHAR) FROM features)) SELECT ref, kind, coalesce(m.title, f.name) AS title, m.id IS NULL AND f.feature_id IS NULL AS unresolved FROM r LEFT JOIN memories m ON kind = 'memory' AND m.id = key LEFT JOIN features f ON kind = 'feature' AND CAST(f.feature_id AS VARCHAR) = key",

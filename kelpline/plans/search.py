@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpline.functions import intent as N
 from kelpline.functions import text as T
-from kelpline.operators import contracts, diversity, fts, fusion, symbols
+from kelpline.operators import contracts, diversity, fts, fusion, snippet, symbols
 from kelpline.operators import imports as R
 from kelpline.plans import retrieval as Q
 from kelpline.plans.registry import Family
@@ -129,16 +129,28 @@ def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("path", "chunk_index", T.truncate_middle(F.col("code"), 100).alias("middle"), T.truncate_head_tail(F.col("code"), 200, 0.67).alias("ends"))
 
 
+@family.add("r12_rerank_window")
+def r12b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reranker reads of every file hit: the path and the lines around the best one."""
+    f = X.files(spark, sf_dir).select("path", F.col("path").alias("breadcrumb"), F.col("content").alias("code"))
+    return snippet.rerank_text(Q.file_hits(spark, sf_dir).select("query_id", "path").join(f, "path"), ["path"], X.queries(spark, sf_dir), 250, 400)
+
+
 @family.add(
     "r14_cold_start_scan",
-    rf"""WITH {X.FILES}, {Q.TERMS}, u AS (SELECT query_id, unnest(terms) AS term FROM terms), w AS (SELECT path, unnest(list_distinct(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+'))) AS term FROM files WHERE size <= 262144),
-s AS (SELECT u.query_id, w.path, 5 * count(*) AS score FROM u JOIN w ON w.term = u.term GROUP BY ALL) SELECT query_id, path, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) <= 5""",
+    rf"""WITH {X.FILES}, {Q.TERMS}, u AS (SELECT query_id, list_sort(terms) AS l FROM terms), t AS (SELECT query_id, i AS n, l[i] AS term, false AS technical FROM u, unnest(range(1, len(l) + 1)) r(i) UNION ALL SELECT item_id, 0, '/' || item_id, true FROM benchmark),
+h AS (SELECT t.*, f.path, contains(lower(f.path), term) AS ip, instr(lower(f.content), term) AS place FROM t JOIN files f ON f.size <= 262144 AND (contains(lower(f.path), term) OR contains(lower(f.content), term))),
+g AS (SELECT query_id, path, CAST(sum(CASE WHEN ip THEN CASE WHEN technical THEN 10 ELSE 3 END ELSE 0 END + CASE WHEN place > 0 THEN CASE WHEN technical THEN 20 ELSE 5 END ELSE 0 END) AS BIGINT) AS score, arg_min(ip, n) AS lead, arg_min(term, n) AS first_term, min(place) FILTER (WHERE place > 0) AS place, arg_min(term, place * 100000 + n) FILTER (WHERE place > 0) AS near FROM h GROUP BY query_id, path),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) - 1 AS rank FROM g QUALIFY rank < 5),
+c AS (SELECT b.*, string_split(f.content, chr(10)) AS lines, len(string_split(left(f.content, CASE WHEN lead THEN 0 ELSE place - 1 END), chr(10))) AS line FROM b JOIN files f ON f.path = b.path)
+SELECT query_id, path, rank, score, CASE WHEN lead THEN first_term ELSE near END AS token, greatest(line - 3, 1) AS start_line, least(line + 4, len(lines)) AS end_line, array_to_string(lines[greatest(line - 3, 1):least(line + 4, len(lines))], chr(10)) AS text FROM c""",
 )
 def r14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files up to 256 KB by the query terms they hold, without an index: five points a term, the best five files."""
-    w = X.files(spark, sf_dir).filter("size <= 262144").select("path", F.explode(F.array_distinct(T.tokens(F.col("content")))).alias("term"))
-    s = w.join(fts.query_terms(X.queries(spark, sf_dir)), "term").groupBy("query_id", "path").agg((5 * F.count("*")).alias("score"))
-    return fusion.top_k(s, ["query_id"], [F.col("score").desc(), "path"], 5).drop("rank")
+    """Files by the terms of each query, without an index, with a snippet; '/' and the item's number is its technical term."""
+    q = X.queries(spark, sf_dir)
+    words = q.select("query_id", F.posexplode(F.array_sort(F.array_distinct(T.tokens(F.col("query"))))).alias("n", "term"), F.lit(False).alias("technical"))
+    named = q.select("query_id", F.lit(-1), F.concat(F.lit("/"), F.col("query_id").cast("string")), F.lit(True))
+    return snippet.cold_start(X.files(spark, sf_dir), words.union(named))
 
 
 @family.add(
@@ -284,6 +296,16 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SIGNAL = "concat('outcome=', CASE WHEN doc_id % 2 = 0 THEN 'helpful' ELSE 'memory-stale' END, ' | target = ', source, '=', lang, ' | note | =x | query=', cast(doc_id AS string), CASE WHEN doc_id % 3 = 0 THEN '|query=again' ELSE '' END)"
+
+
+@family.add("f_map_and_base64url", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'helpful' ELSE 'memory-stale' END AS outcome, source || '=' || lang AS target, CASE WHEN doc_id % 3 = 0 THEN 'again' ELSE CAST(doc_id AS VARCHAR) END AS query, CAST(3 AS INTEGER) AS n, rtrim(translate(to_base64(encode(text)), '+/', '-_'), '=') AS code, text AS back FROM documents")
+def map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback signals as maps, and texts to base64url and back."""
+    d, m = X.load(spark, sf_dir, "documents").withColumn("code", T.base64url(F.col("text"))), T.pairs(F.expr(_SIGNAL))
+    return d.select("doc_id", m["outcome"].alias("outcome"), m["target"].alias("target"), m["query"].alias("query"), F.size(m).alias("n"), "code", T.from_base64url(F.col("code")).alias("back"))
+
+
 @family.add("st9_daily_stream", f"WITH {X.USAGE} SELECT day, count(*) AS calls, round(sum(duration_ms), 4) AS spent, count(*) FILTER (WHERE status = 'error') AS errors FROM usage GROUP BY day")
 def st9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily series as a stream over the events file, in complete mode."""
