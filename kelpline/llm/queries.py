@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kelpline.llm.ann import nearest
 from kelpline.llm.decontaminate import contamination
 from kelpline.llm.minhash import near_duplicates
 from kelpline.llm.mixing import mix_sources
 from kelpline.llm.pii import find_personal_data
+from kelpline.llm.runs import periodic_runs, run_digests, with_loops
 from kelpline.llm.sitetree import main_text
 from kelpline.llm.store import Workspace
 from kelpline.llm.tokens import token_digests
@@ -71,6 +73,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Workspace(spark, "runs")  # bounds the batches of texts
+    docs = table(spark, sf_dir, "documents")
+    return run_digests(periodic_runs(docs.withColumn("text", with_loops(F.col("text"), F.col("doc_id")))))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
@@ -99,5 +107,5 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM v
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_personal_data": op3_personal_data, "op4_main_text": op4_main_text, "op5_toxicity": op5_toxicity, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_substring_dedup": op7_substring_dedup, "op8_token_files": op8_token_files, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_personal_data": op3_personal_data, "op4_main_text": op4_main_text, "op5_toxicity": op5_toxicity, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_substring_dedup": op7_substring_dedup, "op8_token_files": op8_token_files, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc, "op13_periodic_runs": op13_periodic_runs}
 ORACLES = {"op1_minhash_dedup": OP1_SQL, "op10_warc": OP10_SQL}
