@@ -32,7 +32,7 @@ RUNS = "array<struct<start:long,length:long,period:long>>"
 
 
 class CommonPrefixes:
-    """How many symbols two suffixes of a sequence share. The last symbol occurs once in it."""
+    """How many symbols two suffixes of a sequence share. Symbols are small integers; the last occurs once."""
 
     def __init__(self, symbols: np.ndarray):
         levels = self._levels(symbols)
@@ -53,8 +53,8 @@ class CommonPrefixes:
     @staticmethod
     def _levels(symbols: np.ndarray) -> list[np.ndarray]:
         """Ranks of all suffixes by their first 1, 2, 4, ... symbols: how many suffixes are smaller. Only ties are sorted on."""
-        ordered = np.sort(symbols)
-        rank = np.searchsorted(ordered, symbols).astype(np.int32)
+        counts = np.bincount(symbols)
+        rank = (np.cumsum(counts) - counts)[symbols].astype(np.int32)
         out, n = [rank], len(symbols)
         tied = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
         step = 1
