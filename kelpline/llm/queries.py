@@ -9,6 +9,7 @@ from kelpline.llm.ann import nearest
 from kelpline.llm.decontaminate import contamination
 from kelpline.llm.minhash import near_duplicates
 from kelpline.llm.mixing import mix_sources
+from kelpline.llm.packing import packed_documents
 from kelpline.llm.pii import find_personal_data
 from kelpline.llm.runs import periodic_runs, run_digests, with_loops
 from kelpline.llm.sitetree import main_text
@@ -73,6 +74,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     Workspace(spark, "runs")  # bounds the batches of texts
     docs = table(spark, sf_dir, "documents")
@@ -107,5 +112,5 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM v
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_personal_data": op3_personal_data, "op4_main_text": op4_main_text, "op5_toxicity": op5_toxicity, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_substring_dedup": op7_substring_dedup, "op8_token_files": op8_token_files, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc, "op13_periodic_runs": op13_periodic_runs}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_personal_data": op3_personal_data, "op4_main_text": op4_main_text, "op5_toxicity": op5_toxicity, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_substring_dedup": op7_substring_dedup, "op8_token_files": op8_token_files, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc, "op12_packing": op12_packing, "op13_periodic_runs": op13_periodic_runs}
 ORACLES = {"op1_minhash_dedup": OP1_SQL, "op10_warc": OP10_SQL}
