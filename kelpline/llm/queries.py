@@ -9,6 +9,7 @@ from kelpline.llm.ann import nearest
 from kelpline.llm.decontaminate import contamination
 from kelpline.llm.minhash import near_duplicates
 from kelpline.llm.mixing import mix_sources
+from kelpline.llm.negatives import mine_negatives, stepped
 from kelpline.llm.packing import packed_documents
 from kelpline.llm.pii import find_personal_data
 from kelpline.llm.runs import periodic_runs, run_digests, with_loops
@@ -74,6 +75,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = stepped(table(spark, sf_dir, "embeddings"))
+    return mine_negatives(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -112,5 +118,17 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM v
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_personal_data": op3_personal_data, "op4_main_text": op4_main_text, "op5_toxicity": op5_toxicity, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_substring_dedup": op7_substring_dedup, "op8_token_files": op8_token_files, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc, "op12_packing": op12_packing, "op13_periodic_runs": op13_periodic_runs}
-ORACLES = {"op1_minhash_dedup": OP1_SQL, "op10_warc": OP10_SQL}
+OP11_SQL = """
+WITH r AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) AS INTEGER) AS rank,
+  n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_mixing": op2_mixing, "op3_personal_data": op3_personal_data, "op4_main_text": op4_main_text, "op5_toxicity": op5_toxicity, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_substring_dedup": op7_substring_dedup, "op8_token_files": op8_token_files, "op9_decontamination": op9_decontamination, "op10_warc": op10_warc, "op11_hard_negatives": op11_hard_negatives, "op12_packing": op12_packing, "op13_periodic_runs": op13_periodic_runs}
+ORACLES = {"op1_minhash_dedup": OP1_SQL, "op10_warc": OP10_SQL, "op11_hard_negatives": OP11_SQL}
