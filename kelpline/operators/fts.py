@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions.text import tokens
+from kelpline.sources.store import saved
 
 K1, B = 1.2, 0.75
 
@@ -14,17 +15,17 @@ K1, B = 1.2, 0.75
 ITSELF = ""
 
 
-def postings(docs: DataFrame, key: list[str], text: str, terms: DataFrame | None = None) -> DataFrame:
-    """docs -> (key..., length, term, tf) with a row (ITSELF) for each document; of the given terms alone if there are any.
+def postings(docs: DataFrame, key: list[str], text: str, terms: DataFrame | None = None, itself: bool = False) -> DataFrame:
+    """docs -> (key..., length, term, tf); of the given terms alone if there are any; with a row (ITSELF) a document if asked for.
 
     length counts all tokens of the document. Other terms go before anything is counted. explode_outer keeps Spark from
     adding a filter on the exploded array, which would tokenize every text once more.
     """
     t = docs.select(*key, tokens(F.col(text)).alias("terms"))
-    flat = t.select(*key, F.size("terms").alias("length"), F.explode_outer(F.array_append(F.coalesce("terms", F.array().cast("array<string>")), F.lit(ITSELF))).alias("term"))
-    flat = flat.filter("term is not null")
+    own = F.array_append(F.coalesce("terms", F.array().cast("array<string>")), F.lit(ITSELF)) if itself else F.col("terms")
+    flat = t.select(*key, F.size("terms").alias("length"), F.explode_outer(own).alias("term")).filter("term is not null")
     if terms is not None:
-        flat = flat.join(terms.union(terms.sparkSession.sql(f"SELECT '{ITSELF}' AS term")), "term", "left_semi")
+        flat = flat.join(terms.union(terms.sparkSession.sql(f"SELECT '{ITSELF}' AS term")) if itself else terms, "term", "left_semi")
     return flat.groupBy(*key, "length", "term").agg(F.count("*").alias("tf"))
 
 
@@ -37,19 +38,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, key: list[str], text: str, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """-> (query_id, key..., score, matched, n_terms) for every document with at least one query term.
 
-    Only terms that some query holds are counted and scored. The statistics N and average length are one row and ride
-    along as a broadcast; whether the terms do is left to Spark's size check.
+    Texts are read once: the postings of the terms that some query holds are saved, with a row for each document itself,
+    which gives the number and the average length of all and takes no part in the join by term. Those are one row and ride
+    along as a broadcast; the terms' weights are as many as the queries' terms, and Spark's size check says how they join.
     """
     q = query_terms(queries)
-    used = postings(docs, key, text, q.select("term").distinct())
-    # All of these read the same columns of the postings, so that Spark counts them once and reuses the exchange.
-    itself = F.when(F.col("term") == ITSELF, F.col("tf"))
-    stats = used.agg(F.sum(itself).alias("n_docs"), (F.sum(itself * F.col("length")) / F.sum(F.when(F.col("length").isNotNull(), itself))).alias("avg_length"))
-    df = used.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
+    rows = saved(postings(docs, key, text, q.select("term").distinct(), itself=True), "postings")
+    own = rows.filter(F.col("term") == ITSELF)
+    stats = own.agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("length")) / F.sum(F.when(F.col("length").isNotNull(), F.col("tf")))).alias("avg_length"))
+    used = rows.filter(F.col("term") != ITSELF)
+    df = used.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weighted = q.join(df, "term").join(F.broadcast(stats)).select("query_id", "n_terms", "term", idf.alias("idf"), "avg_length")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    hits = used.join(weighted.hint("merge"), "term")  # else the postings, many rows a term, may be taken for the side to broadcast
+    hits = used.join(weighted, "term")
     return hits.groupBy("query_id", *key, "n_terms").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
 
 

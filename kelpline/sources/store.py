@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; under a temporary folder only where none is set (local runs)."""
+    """A new path under spark.checkpoint.dir; under a temporary folder only where a local session sets none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='kelpline-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/kelpline/{name}-{uuid.uuid4().hex}"
