@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions.text import tokens
@@ -50,50 +47,44 @@ def cold_start(files: DataFrame, terms: DataFrame, limit: int = 5, most_bytes: i
     return r.select("query_id", "path", "rank", "score", "token", start.alias("start_line"), end.alias("end_line"), F.array_join(F.slice(lines, start, end - start + 1), "\n").alias("text"))
 
 
-def truncate_middle(text: str, limit: int) -> str:
-    half = (limit - 3) // 2
-    return text if len(text) <= limit else f"{text[:half]}...{text[len(text) - half :]}"
-
-
-def truncate_ends(text: str, limit: int, share: float) -> str:
-    head = int(limit * share)
-    tail = limit - head - 3
-    return text if len(text) <= limit else f"{text[:head]}...{text[len(text) - tail :]}" if tail > 0 else text[:limit]
-
-
-def around_hit(text: str, words: list[str], limit: int, share: float) -> str:
-    """Whole lines around the first line with most of the words, as many as fit, one above and one below in turn."""
-    if len(text) <= limit:
-        return text
-    lines = text.split("\n")
-    hits = [sum(w in low for w in words) for low in (x.lower() for x in lines)]
-    if max(hits) == 0:
-        return truncate_ends(text, limit, share)
-    low = high = hits.index(max(hits))
-    used, moved = len(lines[low]), True
-    while moved and used < limit:
-        moved = False
-        if low > 0 and used + len(lines[low - 1]) + 1 <= limit:
-            low, moved = low - 1, True
-            used += len(lines[low]) + 1
-        if high + 1 < len(lines) and used + len(lines[high + 1]) + 1 <= limit:
-            high, moved = high + 1, True
-            used += len(lines[high]) + 1
-    return ("..." if low > 0 else "") + "\n".join(lines[low : high + 1]) + ("..." if high + 1 < len(lines) else "")
-
-
 def rerank_text(hits: DataFrame, key: list[str], queries: DataFrame, crumb_chars: int = 250, chars: int = 1000, share: float = 0.67) -> DataFrame:
-    """hits(query_id, key..., breadcrumb, code) -> (query_id, key..., text): breadcrumb, line break, code around the best line."""
-    words = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("words"))
-    r = hits.join(words, "query_id").select("query_id", *key, F.coalesce("breadcrumb", F.lit("")).alias("breadcrumb"), F.coalesce("code", F.lit("")).alias("code"), "words")
+    """hits(query_id, key..., breadcrumb, code) -> (query_id, key..., text): breadcrumb, line break, code in `chars` characters.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            text = []
-            for crumb, code, w in zip(pdf.breadcrumb, pdf.code, pdf.words, strict=True):
-                head = truncate_middle(crumb, crumb_chars)
-                text.append(f"{head}\n{around_hit(code, list(w), max(0, chars - len(head) - 1), share)}")
-            yield pdf[["query_id", *key]].assign(text=text)
+    Longer code shows whole lines around its first line with most words of the query; lines above and below are taken in
+    turn, and once one side has no line that fits, the other goes on alone. How far that is follows from running sums of
+    line lengths: the rounds in which both sides fit, then what the one or the other side adds. Code without a word of the
+    query shows its head and tail. Line breaks count; ellipses, put where lines are missing, don't.
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.select("query_id", *key).schema) + ", text string"
-    return r.mapInPandas(run, schema)
+    hits are distinct by (query_id, key...), and none of these is null.
+    """
+    words = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("words"))
+    crumb, half = F.coalesce("breadcrumb", F.lit("")), (crumb_chars - 3) // 2
+    head = F.when(F.length(crumb) <= crumb_chars, crumb).otherwise(F.concat(F.substring(crumb, 1, half), F.lit("..."), F.right(crumb, F.lit(half))))
+    r = hits.join(words, "query_id").select(F.struct("query_id", *key).alias("of"), head.alias("head"), F.coalesce("code", F.lit("")).alias("code"), "words")
+    r = r.withColumn("room", F.greatest(chars - F.length("head") - 1, F.lit(0)))
+    lines = r.filter(F.length("code") > F.col("room")).select("of", "room", "words", F.posexplode(F.split("code", "\n")).alias("n", "line"))
+    score = F.size(F.filter("words", lambda w: F.contains(F.lower("line"), w)))
+    own, upto = Window.partitionBy("of"), Window.partitionBy("of").orderBy("n")
+    lines = lines.select("of", "n", "room", (F.length("line") + 1).alias("size"), score.alias("score"))
+    lines = lines.withColumn("sum", F.sum("size").over(upto)).withColumn("best", F.max(F.struct("score", (-F.col("n")).alias("n"))).over(own))
+    lines = lines.filter("best.score > 0").withColumn("hit", -F.col("best.n"))
+    at_hit = lambda c: F.max(F.when(F.col("n") == F.col("hit"), F.col(c))).over(own)
+    lines = lines.withColumn("hit_sum", at_hit("sum")).withColumn("hit_size", at_hit("size"))
+    up = F.max(F.when(F.col("n") <= F.col("hit"), F.col("hit_sum") - F.col("hit_size") - F.col("sum") + F.col("size") * (F.col("n") < F.col("hit")).cast("int") + F.col("hit_size") * (F.col("n") == F.col("hit")).cast("int")))
+    down = F.max(F.when(F.col("n") >= F.col("hit"), F.col("sum") - F.col("hit_sum")))
+    far = lines.groupBy("of", "hit", (F.col("room") - F.col("hit_size") + 1).alias("room"), F.abs(F.col("n") - F.col("hit")).alias("k")).agg(up.alias("up"), down.alias("down"))
+    most = lambda fits: F.coalesce(F.max(F.when(fits, F.col("k"))).over(own), F.lit(0))
+    far = far.withColumn("both", most(F.col("up") + F.col("down") <= F.col("room")))
+    at_both = lambda c: F.max(F.when(F.col("k") == F.col("both"), F.col(c))).over(own)
+    far = far.withColumn("up_both", at_both("up")).withColumn("down_both", at_both("down"))
+    far = far.withColumn("above", most(F.col("up") + F.col("down_both") <= F.col("room"))).withColumn("below", most(F.col("up_both") + F.col("down") <= F.col("room")))
+    above = F.greatest("above", "both")
+    below = F.when(above > F.col("both"), F.col("both")).otherwise(F.greatest("below", "both"))
+    shown = far.filter("k = 0").select("of", (F.col("hit") - above).alias("first"), (F.col("hit") + below).alias("last"))
+    cut = F.split("code", "\n")
+    around = F.concat(F.when(F.col("first") > 0, "...").otherwise(""), F.array_join(F.slice(cut, F.col("first") + 1, F.col("last") - F.col("first") + 1), "\n"), F.when(F.col("last") < F.size(cut) - 1, "...").otherwise(""))
+    front = F.floor(F.col("room") * share).cast("int")
+    tail = F.col("room") - front - 3
+    ends = F.when(tail > 0, F.concat(F.substr("code", F.lit(1), front), F.lit("..."), F.right("code", tail))).otherwise(F.substr("code", F.lit(1), F.col("room")))
+    text = F.when(F.length("code") <= F.col("room"), F.col("code")).when(F.col("first").isNotNull(), around).otherwise(ends)
+    return r.join(shown, "of", "left").select("of.*", F.concat("head", F.lit("\n"), text).alias("text"))

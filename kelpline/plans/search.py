@@ -129,7 +129,19 @@ def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("path", "chunk_index", T.truncate_middle(F.col("code"), 100).alias("middle"), T.truncate_head_tail(F.col("code"), 200, 0.67).alias("ends"))
 
 
-@family.add("r12_rerank_window")
+#: Takes lines step by step, above and below in turn, where the operator reckons how far both sides go.
+_WINDOW = rf"""h AS (SELECT query_id, r.path, content AS code, 400 - length(r.path) - 1 AS room FROM ranked r JOIN files USING (path)), g AS (SELECT h.*, string_split(code, chr(10)) AS l FROM h),
+sc AS (SELECT query_id, path, i AS n, len(list_filter(terms, lambda w: contains(lower(l[i]), w))) AS score FROM g JOIN terms USING (query_id), unnest(range(1, len(l) + 1)) t(i) WHERE length(code) > room),
+hit AS (SELECT query_id, path, arg_min(n, n) FILTER (WHERE score = most) AS n FROM (SELECT *, max(score) OVER (PARTITION BY query_id, path) AS most FROM sc) WHERE most > 0 GROUP BY ALL),
+w(query_id, path, lo, hi, used, side, stuck) AS (SELECT query_id, path, n, n, length(l[n]), 0, 0 FROM hit JOIN g USING (query_id, path)
+  UNION ALL SELECT w.query_id, w.path, CASE WHEN side = 0 AND fit THEN lo - 1 ELSE lo END, CASE WHEN side = 1 AND fit THEN hi + 1 ELSE hi END, CASE WHEN fit THEN used + more ELSE used END, 1 - side, CASE WHEN fit THEN 0 ELSE stuck + 1 END
+  FROM (SELECT w.*, length(g.l[CASE side WHEN 0 THEN lo - 1 ELSE hi + 1 END]) + 1 AS more, CASE side WHEN 0 THEN lo > 1 ELSE hi < len(g.l) END AND used + length(g.l[CASE side WHEN 0 THEN lo - 1 ELSE hi + 1 END]) + 1 <= room AS fit FROM w JOIN g USING (query_id, path) WHERE stuck < 2) w),
+z AS (SELECT query_id, path, min(lo) AS lo, max(hi) AS hi FROM w GROUP BY ALL)
+SELECT query_id, path, path || chr(10) || CASE WHEN length(code) <= room THEN code WHEN lo IS NULL THEN substr(code, 1, CAST(floor(room * 0.67) AS INTEGER)) || '...' || right(code, CAST(room - floor(room * 0.67) - 3 AS INTEGER))
+  ELSE CASE WHEN lo > 1 THEN '...' ELSE '' END || array_to_string(l[lo:hi], chr(10)) || CASE WHEN hi < len(l) THEN '...' ELSE '' END END AS text FROM g LEFT JOIN z USING (query_id, path)"""
+
+
+@family.add("r12_rerank_window", f"WITH RECURSIVE {Q.FILE_HITS}, {Q.TERMS}, {_WINDOW}")
 def r12b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reranker reads of every file hit: the path and the lines around the best one."""
     f = X.files(spark, sf_dir).select("path", F.col("path").alias("breadcrumb"), F.col("content").alias("code"))

@@ -53,12 +53,43 @@ def test_explore_orders_by_source_then_words_then_score(spark):
     assert [tuple(r) for r in got] == [("b/login.ts", "high"), ("c/y.ts", "high"), ("a/x.ts", "low")]
 
 
-def test_text_around_the_best_line():
-    text = "\n".join(["one", "two", "three login user", "four", "five user"])
-    assert snippet.around_hit(text, ["login", "user"], 100, 0.67) == text
-    assert snippet.around_hit(text, ["login", "user"], 25, 0.67) == "...two\nthree login user\nfour..."
-    assert snippet.around_hit("x" * 30, ["login"], 10, 0.67) == "xxxxxx...x"
-    assert snippet.truncate_middle("abcdefghij", 9) == "abc...hij"
+def window_by_steps(lines: list[str], words: list[str], room: int) -> str:
+    """Takes a line above, then one below, as long as either fits."""
+    score = [sum(w in x.lower() for w in words) for x in lines]
+    shown = [score.index(max(score))]
+    length = lambda a: len("\n".join(lines[k] for k in sorted(a)))
+    while True:
+        before = len(shown)
+        for k in (min(shown) - 1, max(shown) + 1):
+            if 0 <= k < len(lines) and length([*shown, k]) <= room:
+                shown.append(k)
+        if len(shown) == before:
+            break
+    text = "\n".join(lines[k] for k in sorted(shown))
+    return "..." * (0 not in shown) + text + "..." * (len(lines) - 1 not in shown)
+
+
+def test_text_around_the_best_line(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(0, "k0", "crumb", "one\ntwo\nthree login user\nfour\nfive user"), (0, "k1", "c" * 300, "x" * 30), (0, "k2", None, None), (0, "k3", "p", "y" * 90)]
+    rows += [(q, f"r{i}", "p" * r.choice([1, 20, 40]), "\n".join("".join(r.choice(["a", "b ", "login", "user", "zz"]) for _ in range(r.randint(0, 6))) for _ in range(r.randint(1, 25)))) for i in range(60) for q in (0, 1)]
+    q = spark.createDataFrame([(0, "Login user"), (1, "zz")], "query_id long, query string")
+    df = spark.createDataFrame([(*x, 1) for x in rows], "query_id long, k string, breadcrumb string, code string, n int")
+    got = {(x.query_id, x.k): x.text for x in snippet.rerank_text(df, ["k"], q, 20, 60, 0.5).collect()}
+    assert len(got) == len(rows)
+    for query, k, crumb, code in rows:
+        head = crumb or ""
+        head = head if len(head) <= 20 else head[:8] + "..." + head[-8:]
+        room, code, words = 60 - len(head) - 1, code or "", ["login", "user"] if query == 0 else ["zz"]
+        if len(code) <= room:
+            want = code
+        elif any(w in code.lower() for w in words):
+            want = window_by_steps(code.split("\n"), words, room)
+        else:
+            want = code[: room // 2] + "..." + code[len(code) - (room - room // 2 - 3) :]
+        assert got[query, k] == head + "\n" + want, (code, room)
 
 
 def test_cold_start(spark):
