@@ -56,3 +56,11 @@ UNION ALL SELECT path, name, 'ACCESSES', 'size', 0.8, CASE WHEN path LIKE '%.jav
 UNION ALL SELECT path, 'Doc', CASE type WHEN 'Variable' THEN 'HAS_PROPERTY' ELSE 'HAS_METHOD' END, name, 1.0, NULL FROM s WHERE parent IS NOT NULL
 UNION ALL SELECT path, name, 'IMPORTS', CASE k WHEN 0 THEN 'import:./lib:a' || b WHEN 2 THEN 'import:lib/a' || b || ':a' || b ELSE 'import:lib.a' || b || ':a' || b END, 0.6, CASE k WHEN 0 THEN './lib' WHEN 2 THEN 'lib/a' || b ELSE 'lib.a' || b END FROM (SELECT *, doc_id % 5 AS b FROM n) JOIN s USING (path) WHERE parent IS NULL
 UNION ALL SELECT path, 'Doc', 'EXTENDS', CASE WHEN k = 0 AND doc_id % 3 = 0 THEN 'Base0' ELSE 'extends:Base' || (doc_id % 3) END, CASE WHEN k = 0 AND doc_id % 3 = 0 THEN 0.95 ELSE 0.7 END, CASE WHEN k = 0 AND doc_id % 3 = 0 THEN 'same-file' END FROM n WHERE k <> 2"""
+
+#: The files themselves, rendered.
+CONTENT = """calls AS (SELECT doc_id, m, string_agg('f' || c || '();', ' ' ORDER BY c) AS calls FROM pairs GROUP BY ALL),
+body AS (SELECT doc_id, string_agg(CASE doc_id % 4 WHEN 0 THEN '  m' || m || '() { this.size; ' || calls || ' }' WHEN 1 THEN '    def m' || m || '(self): self.size; ' || calls WHEN 2 THEN 'func (d *Doc) m' || m || '() { d.size; ' || calls || ' }' ELSE '  void m' || m || '() { this.size = 1; ' || calls || ' }' END || chr(10), '' ORDER BY m) AS b FROM calls GROUP BY doc_id),
+rendered AS (SELECT path, replace(CASE k WHEN 0 THEN 'import { a' || doc_id % 5 || ' } from ''./lib'';~export class Doc extends Base' || doc_id % 3 || ' {~  size = 1;~' || b || '}~class Base0 {}~function f0() {}~function f1() {}~function f2() {}~function f3() {}~'
+  WHEN 1 THEN 'import lib.a' || doc_id % 5 || '~class Doc(Base' || doc_id % 3 || '):~    size = 1~' || b || 'class Base0: pass~def f0(): pass~def f1(): pass~def f2(): pass~def f3(): pass~'
+  WHEN 2 THEN 'package p~import "lib/a' || doc_id % 5 || '"~type Doc struct {~  size int~}~' || b || 'func f0() {}~func f1() {}~func f2() {}~func f3() {}~'
+  ELSE 'import lib.a' || doc_id % 5 || ';~public class Doc extends Base' || doc_id % 3 || ' {~  int size = 1;~' || b || '  void f0() {}~  void f1() {}~  void f2() {}~  void f3() {}~}~class Base0 {}~' END, '~', chr(10)) AS content FROM n JOIN body USING (doc_id))"""
