@@ -12,7 +12,7 @@ from kelpline.llm.decontaminate import drop_contaminated
 from kelpline.llm.minhash import near_duplicates
 from kelpline.llm.mixing import mixed_documents
 from kelpline.llm.queries import table, tokenizer_path
-from kelpline.llm.store import Workspace
+from kelpline.llm.store import Workspace, quoted
 from kelpline.llm.tokens import token_digests
 from kelpline.llm.toxicity import keep_civil, train
 
@@ -33,12 +33,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     work = Workspace(spark, "near-dedup")
     found = work.save(near_duplicates(docs).select("doc_id", "kept"), "kept")
-    kept = docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    columns = [quoted(c) for c in docs.columns]
+    kept = docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(columns)
     twice = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
     once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
+    return kept.join(twice, "doc_id", "left_anti").select(columns).union(once.select(columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

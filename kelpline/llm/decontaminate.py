@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.store import tidy
+from kelpline.llm.store import through, tidy
 from kelpline.llm.words import HashIndex, blocks, hash_words, mix, terms_of
 
 #: Word edits allowed, as a share of the item's words; items of fewer words than LEAST_WORDS must be there without any.
@@ -283,5 +283,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDIT
                         keep[rows[t]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = through(docs, run)
     return docs

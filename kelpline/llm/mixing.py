@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpline.llm.store import Workspace
+from kelpline.llm.store import Workspace, quoted
 
 FAN = 64
 WORD = r"[^\x20\x09-\x0D]+"
@@ -125,8 +125,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of docs as often as `mix_sources` takes it, with the columns of docs."""
-    plan = mix_sources(docs, **options).select("doc_id", "source", "size", "copies").distinct()
-    plan = plan.filter("copies > 0").select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copies").alias("__c"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__i")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (word_count(F.col("text")) == F.col("__z"))
-    out = docs.join(plan, on).withColumn("__k", F.explode(F.array_repeat(F.lit(0), F.col("__c"))))
-    return out.select(*[out[f"`{c}`"] for c in docs.columns])
+    plan = mix_sources(docs, **options).select("doc_id", "source", "size", "copies").distinct().filter("copies > 0")
+    own = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("source").cast("string").alias("s"), word_count(F.col("text")).alias("z"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
+    out = own.join(plan, F.col("i").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")))
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")

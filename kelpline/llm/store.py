@@ -56,6 +56,17 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def quoted(column: str) -> str:
+    """A column's name as it is written in an expression, whatever characters it has."""
+    return f"`{column.replace('`', '``')}`"
+
+
+def through(df: DataFrame, run: Callable[[Iterator], Iterator]) -> DataFrame:
+    """mapInArrow that gives rows of df back as they are; names with a dot, which it can't take, are put aside meanwhile."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 class Workspace:
     """Tables of one run. They are plain Parquet, so a lost executor costs only a reread."""
 

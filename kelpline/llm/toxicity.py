@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.store import tidy
+from kelpline.llm.store import through, tidy
 from kelpline.llm.words import HashIndex, blocks, hash_words, mix, shingle_sets, terms_of
 
 #: Labelled documents that the sample is drawn for, by hash of doc_id, with one text each.
@@ -200,4 +200,4 @@ def keep_civil(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             p = np.concatenate([model.score(part)[1] for _, part in blocks(texts, texts)]) if texts else np.zeros(0)
             yield batch.filter(pa.array(p < model.cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return through(docs, run)
