@@ -182,13 +182,11 @@ def structure_chunks(files: DataFrame, most: int = 500, least: int = 50, overlap
     raw characters. Languages without a lexer are cut at lines, without overlap; null and empty texts have no chunks.
     """
 
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
         for pdf in batches:
-            for path, language, content in zip(pdf.path, pdf.language, pdf.content, strict=True):
-                if content:
-                    rows = pd.DataFrame(cut(path or "", content, language, most, least, overlap), columns=names[1:])
-                    rows.insert(0, "path", path)
-                    yield rows
+            files = zip(pdf.path, pdf.language, pdf.content, strict=True)
+            yield pd.DataFrame([(path, *r) for path, language, content in files if content for r in cut(path or "", content, language, most, least, overlap)], columns=names)
 
     return files.select("path", "language", "content").mapInPandas(run, SCHEMA)

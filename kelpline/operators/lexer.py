@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 
 SCHEMA = "path string, language string, i int, kind string, text string, line int, end_line int, start int, stop int, up int, around string, close int"
 
+#: Tokens that are handed on at a time.
+BLOCK = 1 << 16
+
 _WORD = r"(?P<word>[^\W\d][\w$]*|[$#@][\w$]*[\w$])"
 _REST = r"(?P<number>\d[\w.]*)|(?P<line>\n)|(?P<open>[({\[])|(?P<close>[)}\]])|(?P<punct>=>|\.\.\.|:=|[=!]==?|.)"
 _QUOTES = r""""(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?"""
@@ -113,14 +116,17 @@ def token_table(files: DataFrame) -> DataFrame:
     around are the number and text of the bracket around (-1 at the top), close the number after a bracket's last token.
     """
 
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
         for pdf in batches:
+            rows: list[tuple] = []
             for path, language, content in zip(pdf.path, pdf.language, pdf.content, strict=True):
                 if language in RULES and content:
-                    rows = pd.DataFrame(lex(content, language), columns=names[2:])
-                    rows.insert(0, "path", path)
-                    rows.insert(1, "language", language)
-                    yield rows
+                    rows += [(path, language, *r) for r in lex(content, language)]
+                if len(rows) > BLOCK:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "language", "content").mapInPandas(run, SCHEMA)
