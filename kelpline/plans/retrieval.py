@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions import text as T
-from kelpline.operators import expand, fts, fusion, vector
+from kelpline.operators import blockmax, expand, fts, fusion, vector
 from kelpline.plans.registry import Family
 from kelpline.sources import fixtures as X
 
@@ -57,6 +57,13 @@ def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fts.two_phase(fts.bm25(c, ["path", "chunk_index"], "code", X.queries(spark, sf_dir)), ["path", "chunk_index"], 40)
 
 
+@family.add("r4_block_postings", f"WITH {FILE_HITS} SELECT query_id, path, score, phase, rank FROM ranked")
+def r4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hits from a saved index in blocks, which leaves out blocks by their bounds."""
+    index = blockmax.build(X.files(spark, sf_dir), ["path"], "content")
+    return fts.two_phase(blockmax.search(index, X.queries(spark, sf_dir), 20 + 10)[0], ["path"], 20)
+
+
 VECTOR_HITS = """vq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
 dist AS (SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(range(1, len(q) + 1), lambda i: (CAST(q[i] AS DOUBLE) - CAST(embedding[i] AS DOUBLE)) * (CAST(q[i] AS DOUBLE) - CAST(embedding[i] AS DOUBLE))))), 6) AS distance FROM vq CROSS JOIN embeddings),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) - 1 AS rank FROM dist QUALIFY rank < 60)"""
