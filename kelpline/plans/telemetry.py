@@ -10,6 +10,7 @@ from kelpline.operators import telemetry as M
 from kelpline.plans.registry import Family
 from kelpline.sources import fixtures as X
 from kelpline.sources import logs
+from kelpline.streaming.tasks import EVENTS, decided
 
 family = Family()
 
@@ -301,6 +302,38 @@ family.sql(
     "st3_stale_running_requeue", T, "SELECT task_id, CASE WHEN status = 'running' AND created_at < TIMESTAMP_NTZ '1997-01-01 00:00:00' THEN 'queued' ELSE status END AS status FROM {t}",
     f"WITH {X.TASKS} SELECT task_id, CASE WHEN status = 'running' AND created_at < TIMESTAMP '1997-01-01 00:00:00' THEN 'queued' ELSE status END AS status FROM tasks",
 )
+# Every order as task events: submitted, a day later started (not the queued ones), a day later finished (the done ones).
+_TASK_STREAM = f"""{X.TASKS}, e AS (SELECT project_id || ':' || scope AS k, task_id AS t, unnest(range(CASE status WHEN 'queued' THEN 1 WHEN 'running' THEN 2 ELSE 3 END)) AS ev, created_at FROM tasks),
+n AS (SELECT k, t, ev, epoch_ms(created_at) + ev * 86400000 AS ms, row_number() OVER (PARTITION BY k ORDER BY created_at + to_days(CAST(ev AS INTEGER)), ev, t) AS n FROM e),
+s(k, n, t, ms, action, shown, active, status, started) AS (SELECT k, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT FROM (SELECT DISTINCT k FROM n)
+  UNION ALL SELECT s.k, n.n, n.t, n.ms, CASE WHEN ev = 0 THEN CASE WHEN active IS NULL THEN 'queued' ELSE 'reused' END WHEN active = n.t AND ev = 1 AND status = 'queued' THEN 'running' WHEN active = n.t AND ev = 2 THEN 'done' END,
+  CASE WHEN ev = 0 THEN coalesce(active, n.t) ELSE n.t END, CASE WHEN ev = 0 THEN coalesce(active, n.t) WHEN ev = 2 AND active = n.t THEN NULL ELSE active END,
+  CASE WHEN ev = 0 THEN coalesce(status, 'queued') WHEN ev = 1 AND active = n.t AND status = 'queued' THEN 'running' WHEN ev = 2 AND active = n.t THEN NULL ELSE status END, CASE WHEN ev = 1 AND active = n.t AND status = 'queued' THEN n.ms ELSE started END FROM s JOIN n ON n.k = s.k AND n.n = s.n + 1),
+z AS (SELECT k, arg_max_null(active, n) AS t, arg_max_null(status, n) AS status, arg_max_null(started, n) AS started FROM s GROUP BY k)"""
+
+
+def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream of task events over the orders file."""
+    schema = X.load(spark, sf_dir, "orders").schema
+    o = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    n = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
+    scope = F.when(F.col("o_totalprice") > 100000, "full").otherwise("incremental")
+    e = o.select(F.concat_ws(":", F.col("o_custkey").cast("string"), scope).alias("dedupe_key"), F.col("o_orderkey").alias("task_id"), F.col("o_orderdate").cast("timestamp").alias("at"), F.explode(F.sequence(F.lit(0), n)).alias("k"))
+    return e.select("dedupe_key", "task_id", F.element_at(F.array(*map(F.lit, EVENTS)), F.col("k") + 1).alias("event"), (F.col("at") + F.make_dt_interval("k")).alias("at"))
+
+
+@family.add("st2_task_stream", f"WITH RECURSIVE {_TASK_STREAM} SELECT k AS dedupe_key, t AS task_id, action, ms AS at_ms, shown AS active_id FROM s WHERE action IS NOT NULL")
+def st2_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each task event decided by the active task of its key, in keyed state."""
+    return decided(spark, task_events(spark, sf_dir), "task-stream").filter("action <> 'requeued'")
+
+
+@family.add("st3_stale_stream", f"WITH RECURSIVE {_TASK_STREAM} SELECT k AS dedupe_key, t AS task_id, started + 1800000 AS at_ms FROM z WHERE status = 'running' AND started + 1800000 <= (SELECT max(ms) - 600000 FROM n)")
+def st3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running tasks whose timer fires when the watermark passes half an hour after their start."""
+    return decided(spark, task_events(spark, sf_dir), "stale-stream").filter("action = 'requeued'").select("dedupe_key", "task_id", "at_ms")
+
+
 family.sql(
     "x18_latest_task", T, "SELECT project_id, task_id, status, created_at FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, task_id DESC) AS n FROM {t} WHERE status = 'done') WHERE n = 1",
     f"WITH {X.TASKS} SELECT project_id, task_id, status, created_at FROM tasks WHERE status = 'done' QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, task_id DESC) = 1",
