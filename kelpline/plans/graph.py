@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpline.operators import graph as G
 from kelpline.operators import members as M
+from kelpline.operators import recall
 from kelpline.plans.registry import Family
 from kelpline.sources import diffs
 from kelpline.sources import fixtures as X
@@ -314,3 +315,28 @@ family.sql(
     "WITH m AS (SELECT t.term, s.id, CASE WHEN s.name = t.term THEN 1.0D ELSE 0.8D END AS score FROM (SELECT DISTINCT explode(split(p_name, ' ')) AS term FROM {p}) t JOIN (SELECT id, name, explode(split(name, ' ')) AS w FROM {s}) s ON s.w = t.term), r AS (SELECT m.term, s.file_path, m.score FROM m JOIN {s} s ON s.id = m.id UNION ALL SELECT m.term, s.file_path, m.score * 0.75 FROM m JOIN {e} e ON e.from_id = m.id JOIN {s} s ON s.id = e.to_id) SELECT term, file_path, round(max(score), 6) AS score FROM r GROUP BY term, file_path",
     f"WITH {X.EDGES}, {X.SYMBOLS}, t AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part), w AS (SELECT id, name, unnest(string_split(name, ' ')) AS w FROM symbols), m AS (SELECT t.term, w.id, CASE WHEN w.name = t.term THEN 1.0 ELSE 0.8 END AS score FROM t JOIN w ON w.w = t.term), r AS (SELECT m.term, s.file_path, m.score FROM m JOIN symbols s ON s.id = m.id UNION ALL SELECT m.term, s.file_path, m.score * 0.75 FROM m JOIN edges e ON e.from_id = m.id JOIN symbols s ON s.id = e.to_id) SELECT term, file_path, round(max(score)::DOUBLE, 6) AS score FROM r GROUP BY term, file_path",
 )
+
+
+# Words of every twentieth part's name as queries; chunks hold the names of ten lines of a file.
+GRAPH_RECALL = f"""{X.EDGES}, {X.SYMBOLS}, c AS (SELECT file_path, CAST(start_line // 10 AS INTEGER) AS chunk_index, string_agg(name, ' ' ORDER BY name) AS code FROM symbols GROUP BY ALL),
+q AS (SELECT DISTINCT p_partkey AS query_id, unnest(string_split(p_name, ' ')) AS term FROM part WHERE p_partkey % 20 = 0),
+sw AS (SELECT id, name, unnest(list_distinct(string_split(lower(name), ' '))) AS term FROM symbols), best AS (SELECT * FROM sw QUALIFY row_number() OVER (PARTITION BY term ORDER BY length(name), id) <= 20),
+m AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, 1.0::DOUBLE AS score FROM q JOIN symbols s ON s.name = q.term UNION ALL SELECT query_id, id, 0.8 FROM q JOIN best USING (term)) GROUP BY ALL),
+r AS (SELECT query_id, id, score FROM m UNION ALL SELECT query_id, e.to_id, score * 0.75 FROM m JOIN edges e ON e.from_id = m.id UNION ALL SELECT query_id, e.from_id, score * 0.75 FROM m JOIN edges e ON e.to_id = m.id UNION ALL SELECT query_id, e.from_id, score * 0.7 FROM m JOIN edges e ON e.to_id = m.id AND e.type = 'IMPORTS'),
+rs AS (SELECT query_id, name, file_path, score FROM r JOIN symbols USING (id)), fs AS (SELECT query_id, file_path, max(score) AS score FROM rs GROUP BY ALL),
+nm AS (SELECT rs.query_id, rs.file_path, c.chunk_index, count(*) AS named FROM rs JOIN c ON c.file_path = rs.file_path AND contains(lower(c.code), lower(rs.name)) GROUP BY rs.query_id, rs.file_path, c.chunk_index QUALIFY row_number() OVER (PARTITION BY rs.query_id, rs.file_path ORDER BY count(*) DESC, c.chunk_index) <= 3),
+graph AS (SELECT query_id, file_path, chunk_index, round(score, 6) AS score, named, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path, named DESC, chunk_index) - 1 AS INTEGER) AS rank FROM nm JOIN fs USING (query_id, file_path))"""
+
+
+def graph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, e = X.symbols(spark, sf_dir), X.edges(spark, sf_dir)
+    q = X.load(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.explode(F.split("p_name", " ")).alias("term"))
+    c = s.groupBy("file_path", F.expr("start_line div 10").cast("int").alias("chunk_index")).agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("code"))
+    calls = e.filter("type = 'IMPORTS'").select(F.col("from_id").alias("caller_id"), F.col("to_id").alias("target_id"))
+    return recall.graph_recall(q, s, e, calls, c.withColumn("breadcrumb", F.lit(None).cast("string")))
+
+
+@family.add("j15_graph_chunks", f"WITH {GRAPH_RECALL} SELECT query_id, file_path, chunk_index, score, named, rank FROM graph")
+def j15_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words to symbols, over relations and callers to files, and down to the chunks that name most of them."""
+    return graph_hits(spark, sf_dir)

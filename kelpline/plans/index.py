@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from kelpline.functions import language as L
 from kelpline.functions import text as T
+from kelpline.operators import bucketed
 from kelpline.operators import index as I
 from kelpline.plans.registry import Family
 from kelpline.sources import fixtures as X
+from kelpline.sources.store import shared_path
 
 family = Family()
 FK = {"f": X.files, "k": X.known_files}
@@ -170,6 +172,21 @@ family.sql(
 )
 
 
+@family.add(
+    "sk9_bucketed_overwrite",
+    f"WITH {X.SYMBOLS} SELECT file_path, id, 'new' AS state FROM symbols WHERE file_path LIKE '%/7.ts' AND exported UNION ALL SELECT file_path, id, 'old' FROM symbols WHERE file_path NOT LIKE '%/7.ts'",
+)
+def sk9_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols in a bucketed table on disk; those of changed files take the old ones' place, and the table is read back."""
+    s = X.symbols(spark, sf_dir).select("file_path", "id", F.lit("old").alias("state"), "exported")
+    path = shared_path(spark, "symbols-by-file")
+    table = s.drop("exported")
+    bucketed.create(table, path, "file_path", 32)
+    changed = s.filter("file_path LIKE '%/7.ts'")
+    bucketed.replace(spark, path, "file_path", 32, changed.select("file_path"), changed.filter("exported").select("file_path", "id", F.lit("new").alias("state")))
+    return bucketed.read(spark, path, table.schema)
+
+
 @family.add(
     "sk10_snapshot_retention",
     "SELECT o_custkey AS project_id, o_orderkey AS snapshot_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 5 OR o_orderkey % 97 = 0",
