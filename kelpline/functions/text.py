@@ -9,6 +9,11 @@ TOKEN = r"([\p{L}\p{N}_]+)"
 PUNCTUATION = r"""[\s,./\\|\[\]{}()"':;!?<>`~@#$%^&*+=-]+"""
 
 
+def bound(value: Column, of) -> Column:
+    """of(value) with value computed once, however often and in whatever lambda `of` reads it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words (letters, digits, underscore) in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
@@ -120,8 +125,7 @@ def pairs(text: Column) -> Column:
     """'k=v | k=v' as a map: pieces without '=' or key are left out, a value keeps its further '=', the last of a key wins."""
     pieces = F.filter(F.transform(F.split(text, r"\|"), lambda p: F.trim(p)), lambda p: F.instr(p, "=") > 1)
     both = F.transform(pieces, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.regexp_replace(p, "^[^=]*=", "")).alias("value")))
-    last = F.filter(both, lambda x, i: ~F.exists(F.slice(both, i + 2, F.size(both)), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(last)
+    return bound(both, lambda b: F.map_from_entries(F.filter(b, lambda x, i: ~F.exists(F.slice(b, i + 2, F.size(b)), lambda y: y["key"] == x["key"]))))
 
 
 def base64url(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.functions.text import bound
+
 
 def consumers(routes: DataFrame, files: DataFrame, pattern: str = r"""fetch\(\s*['"]([^'"]+)['"]""") -> DataFrame:
     """routes(route, file_path) x files(path, content) -> route, consumer: other files that fetch the route.
@@ -22,7 +24,7 @@ def route_of(path):
     `pages/api`, a file handles the route of its own name, or of its folder if it is `index`. Files are JavaScript or
     TypeScript. The path is read segment by segment: where `api` follows either folder first, the route begins.
     """
-    parts = F.split(path, "/")
+    parts = F.split(F.translate(path, "\\", "/"), "/")
     name = F.element_at(parts, -1)
     dot = F.substring_index(name, ".", -1)
     stem = F.when(F.contains(name, F.lit(".")), name.substr(F.lit(1), F.length(name) - F.length(dot) - 1)).otherwise("")
@@ -48,27 +50,24 @@ _NAME_OR_MARK = r"\s*(?:[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+|[^\sA-Za-z0-9_$])"
 def response_keys(text):
     """Keys of the object literals that are passed to json(...), sorted, those of nested objects among them.
 
-    The text is cut into names and marks. A fold keeps the depth of braces within a json call's object; a name counts as
-    a key where a colon follows it and a brace, a comma or a blank stands before it.
+    The text is cut into names and marks once. One fold over them keeps the depth of braces since a json call's object began
+    and the distinct keys; a name counts as a key where a colon follows it and a brace, a comma or a blank stands before it.
     """
     pieces = F.regexp_extract_all(text, F.lit(_NAME_OR_MARK), F.lit(0))
-    marks = F.transform(pieces, lambda p: F.regexp_replace(p, r"^\s+", ""))
-    n = F.size(marks)
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 3)), lambda i: (F.get(marks, i) == "json") & (F.get(marks, i + 1) == "(") & (F.get(marks, i + 2) == "{"))
+    cut = F.struct(pieces.alias("pieces"), F.transform(pieces, lambda p: F.regexp_replace(p, r"^\s+", "")).alias("marks"))
     start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("keys"))
 
-    def body(i):
-        """The keys of the object that begins two marks after place i."""
-
+    def keys(c):
         def step(s, j):
-            piece = F.get(marks, j)
-            inside = F.when(s["depth"] < 0, s["depth"]).when(piece == "{", s["depth"] + 1).when((piece == "}") & (s["depth"] == 1), F.lit(-1)).when(piece == "}", s["depth"] - 1).otherwise(s["depth"])
-            named = (s["depth"] > 0) & F.regexp_like(piece, F.lit("^[A-Za-z_$]")) & (F.get(marks, j + 1) == ":") & (F.get(marks, j - 1).isin("{", ",") | (F.get(marks, j) != F.get(pieces, j)))
-            return F.struct(inside.alias("depth"), F.when(named, F.array_append(s["keys"], piece)).otherwise(s["keys"]).alias("keys"))
+            piece = F.get(c["marks"], j)
+            opens = (piece == "{") & (F.get(c["marks"], j - 1) == "(") & (F.get(c["marks"], j - 2) == "json")
+            depth = F.when(s["depth"] == 0, F.when(opens, 1).otherwise(0)).when(piece == "{", s["depth"] + 1).when(piece == "}", s["depth"] - 1).otherwise(s["depth"])
+            named = (s["depth"] > 0) & F.regexp_like(piece, F.lit("^[A-Za-z_$]")) & (F.get(c["marks"], j + 1) == ":") & (F.get(c["marks"], j - 1).isin("{", ",") | (piece != F.get(c["pieces"], j)))
+            return F.struct(depth.alias("depth"), F.when(named & ~F.array_contains(s["keys"], piece), F.array_append(s["keys"], piece)).otherwise(s["keys"]).alias("keys"))
 
-        return F.aggregate(F.sequence(i + 2, n - 1), start, step, lambda s: s["keys"])
+        return F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(c["marks"]) - 1, F.lit(0))), start, step, lambda s: F.array_sort(s["keys"]))
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(at, body))))
+    return F.when(text.isNotNull(), bound(cut, keys))
 
 
 def barrel(path):

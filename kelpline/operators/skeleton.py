@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.functions.text import path_tokens, tokens
+from kelpline.functions.text import bound, path_tokens, tokens
 from kelpline.operators import fts
 from kelpline.operators.fusion import top_k
 
@@ -36,7 +36,7 @@ def sources_of(text):
     One pass over the text finds keywords (empty here) and sources, however far apart they stand.
     """
     marks = F.regexp_extract_all(text, F.lit(_KEYWORD_OR_FROM), F.lit(1))
-    return F.filter(F.transform(marks, lambda x, i: F.when((x != "") & (F.get(marks, i - 1) == ""), F.trim(x)).otherwise("")), lambda x: x != "")
+    return bound(marks, lambda m: F.filter(F.transform(m, lambda x, i: F.when((x != "") & (F.get(m, i - 1) == ""), F.trim(x)).otherwise("")), lambda x: x != ""))
 
 
 def _hints(value, table):

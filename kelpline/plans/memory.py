@@ -350,6 +350,12 @@ def w15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mmr(c, 8, 0.7)
 
 
-@family.add("c1_line_splitter")
+@family.add(
+    "c1_line_splitter",
+    rf"""WITH RECURSIVE {X.FILES}, l AS (SELECT path, string_split(content, chr(10)) AS l FROM files), ln AS (SELECT path, i, l[i + 1] AS line FROM l, unnest(range(len(l))) t(i)),
+x AS (SELECT path, i, sum(length(line) + 1) OVER (PARTITION BY path ORDER BY i) - length(line) - 1 AS at_, length(line) AS n, length(regexp_replace(line, '[ 	]', '', 'g')) AS solid FROM ln),
+s(path, i, k, start, size) AS (SELECT path, i, 0, 0::HUGEINT, solid FROM x WHERE i = 0 UNION ALL SELECT x.path, x.i, CASE WHEN size + solid > 500 THEN k + 1 ELSE k END, CASE WHEN size + solid > 500 THEN at_ ELSE start END, CASE WHEN size + solid > 500 THEN solid ELSE size + solid END FROM s JOIN x ON x.path = s.path AND x.i = s.i + 1)
+SELECT path, CAST(k AS INTEGER) AS chunk_index, CAST(min(start) AS INTEGER) AS start, CAST(max(at_ + n) AS INTEGER) AS "end" FROM s JOIN x USING (path, i) GROUP BY path, k""",
+)
 def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.split_lines(X.files(spark, sf_dir), "path", "content", 500)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kelpline.functions import text as T
 from kelpline.operators import diversity, graph, members, memory, skeleton, snippet
@@ -135,3 +136,19 @@ def test_pairs_and_base64url(spark):
     got = d.select(T.pairs(d.p).alias("m"), T.base64url(d.t).alias("c"), T.from_base64url(T.base64url(d.t)).alias("t")).collect()
     assert [r.m for r in got] == [{"a": "2", "b": "x=y"}, {}, None]
     assert [r.t for r in got] == ["é?>" * 60, "", None] and not set("+/=\r\n") & set(got[0].c)
+
+
+def test_column_functions_take_long_texts_in_proportion(spark):
+    import time
+
+    from kelpline.functions import text as T
+    from kelpline.operators import contracts
+
+    body = "return Response.json({ id: 1, 'x': y, a : { deep: 2 }, b: [json({ inner: 3 })] })\n"
+    rows = [(body * 3000, "import x from './a'\n" * 20000, "k=v | " * 2000 + "k=w", r"C:\x\app\api\u\route.ts"), (None, None, None, None), ("", "", "", "")]
+    df = spark.createDataFrame(rows, "t string, i string, p string, path string")
+    began = time.perf_counter()
+    got = df.select(contracts.response_keys(F.col("t")).alias("keys"), F.size(skeleton.sources_of("i")).alias("n"), T.pairs(F.col("p")).alias("m"), contracts.route_of(F.col("path")).alias("route")).collect()
+    assert time.perf_counter() - began < 60
+    assert (got[0]["keys"], got[0].n, got[0].m, got[0].route) == (["a", "b", "deep", "id", "inner"], 20000, {"k": "w"}, "/api/u")
+    assert got[1]["keys"] is None and got[1].route is None and got[2]["keys"] == []
