@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 from kelpline.functions import text as T
 from kelpline.functions.language import glob_regex
+from kelpline.operators.fusion import top_k
 
 STATUS_WEIGHT = {"active": 8, "stale": -8, "expired": -20, "superseded": -16}
 CONFIRMED_WEIGHT = {"human-confirmed": 6, "agent-inferred": 2, "suggested": -100}
 ROUTES = {"explicit-module": 3.0, "path": 2.4, "keyword": 2.0, "explicit-scope": 1.2, "scope-cascade": 0.7}
 
 
+# What equal titles, equal summaries and nearly equal terms add to the share of terms in common.
+SAME_TITLE, SAME_SUMMARY, ALIKE = 0.18, 0.22, 0.2
+
+
 def status(now: Column, stale_days: int, provenance: str = "provenance", until: str = "valid_until", updated: str = "updated_at") -> Column:
     """superseded, expired (a bare date ends with its day), stale, or active."""
     over = F.col(until).cast("timestamp") + F.expr("INTERVAL 1 DAY") <= now
@@ -122,21 +127,40 @@ def merge_memories(rows: DataFrame) -> DataFrame:
 
 
 def advise(items: DataFrame, block: list[str], least: float = 0.45, k: int = 3) -> DataFrame:
-    """(id, terms, title, summary, block...) -> each item's k most similar others within its block.
+    """(id, terms, title, summary, block...) -> each item's k most similar others within its block. Terms follow from the title.
 
-    Candidates share a term: the join is on exploded terms, so items without a term in common never meet.
+    Items of equal content are one class, of which the k + 1 least ids can be advice to anybody; classes are compared. The
+    score reaches `least` only where the smaller of two classes shares that part of its terms with the other, or
+    SAME_SUMMARY less where the summaries are equal. So one of its rarest terms is shared, as many as may be missed and one
+    more, and only these are joined: common terms bring no two classes together unless a title has little else.
     """
-    t = items.select("id", *block, F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    a, b = (t.select(F.col("id").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"), *block, "term") for x in "ab")
-    pair = a.join(b, [*block, "term"]).filter("a_id <> b_id").groupBy("a_id", "b_id", "a_n", "b_n").agg(F.count("*").alias("both"))
-    side = {x: items.select(F.col("id").alias(f"{x}_id"), F.lower(F.trim("title")).alias(f"{x}_title"), F.lower(F.trim("summary")).alias(f"{x}_summary")) for x in "ab"}
-    r = pair.join(side["a"], "a_id").join(side["b"], "b_id")
+    low = lambda c: F.lower(F.trim(c))
+    t = items.dropna(subset=block).select("id", *block, "terms", low("title").alias("title"), low("summary").alias("summary")).filter(F.size("terms") > 0)
+    t = t.withColumn("class", F.sha2(F.to_json(F.struct(*block, "terms", "title", "summary")), 256))
+    members = top_k(t.select("class", "id"), ["class"], ["id"], k + 1, "place").select(F.col("class").alias("b"), F.col("id").alias("b_id"))
+    c = t.groupBy("class").agg(*[F.first(x).alias(x) for x in (*block, "terms", "title", "summary")]).withColumn("n", F.size("terms"))
+    words = c.select("class", "n", *block, "summary", F.explode("terms").alias("term"))
+    rare = words.join(words.groupBy(*block, "term").agg(F.count("*").alias("df")), [*block, "term"])
+    rare = rare.withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy("df", "term")))
+
+    def meet(share: float, on: list[str]) -> DataFrame:
+        """Pairs (a, b) of which a has no more terms, that may share so much of a's."""
+        first = rare.filter(F.col("nth") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1)
+        x, y = (r.select(F.col("class").alias(name), F.col("n").alias(f"{name}_n"), *on, "term") for r, name in ((first, "a"), (words, "b")))
+        return x.join(y, [*on, "term"]).filter("a_n < b_n OR (a_n = b_n AND a < b)").select("a", "b")
+
+    pairs = meet(least, block).union(meet(max(0.0, least - SAME_SUMMARY), [*block, "summary"])).distinct()
+    both_ways = pairs.union(pairs.select(F.col("b"), F.col("a"))).union(c.select(F.col("class"), F.col("class")))
+    side = {x: c.select(F.col("class").alias(x), *[F.col(y).alias(f"{x}_{y}") for y in ("terms", "n", "title", "summary")]) for x in "ab"}
+    r = both_ways.join(side["a"], "a").join(side["b"], "b").withColumn("both", F.size(F.array_intersect("a_terms", "b_terms")))
     jaccard = F.col("both") / (F.col("a_n") + F.col("b_n") - F.col("both"))
-    score = F.col("both") / F.greatest(F.lit(1), F.least("a_n", "b_n")) + F.when(F.col("a_title") == F.col("b_title"), 0.18).otherwise(0.0)
-    score = score + F.when(F.col("a_summary") == F.col("b_summary"), 0.22).otherwise(0.0) + F.when(jaccard >= 0.8, 0.2).otherwise(0.0)
-    r = r.withColumn("score", F.round(score, 6)).filter(F.col("score") >= least)
+    score = F.col("both") / F.least("a_n", "b_n") + F.when(F.col("a_title") == F.col("b_title"), SAME_TITLE).otherwise(0.0)
+    score = score + F.when(F.col("a_summary") == F.col("b_summary"), SAME_SUMMARY).otherwise(0.0) + F.when(jaccard >= 0.8, ALIKE).otherwise(0.0)
+    r = r.filter("both > 0").select("a", "b", F.round(score, 6).alias("score")).filter(F.col("score") >= least)
+    best = top_k(r.join(members, "b").select("a", "b_id", "score"), ["a"], [F.col("score").desc(), "b_id"], k + 1, "place").drop("place")
+    own = t.select(F.col("class").alias("a"), F.col("id").alias("a_id")).join(best, "a").filter("a_id <> b_id")
     rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.col("score").desc(), "b_id"))
-    return r.withColumn("rank", rank).filter(F.col("rank") <= k).select("a_id", "b_id", "score", "rank")
+    return own.withColumn("rank", rank).filter(F.col("rank") <= k).select("a_id", "b_id", "score", "rank")
 
 
 def extract(rows: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:

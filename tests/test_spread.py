@@ -152,3 +152,30 @@ def test_column_functions_take_long_texts_in_proportion(spark):
     assert time.perf_counter() - began < 60
     assert (got[0]["keys"], got[0].n, got[0].m, got[0].route) == (["a", "b", "deep", "id", "inner"], 20000, {"k": "w"}, "/api/u")
     assert got[1]["keys"] is None and got[1].route is None and got[2]["keys"] == []
+
+
+def test_advice_against_all_pairs(spark):
+    """Copies, equal summaries under different titles, common and rare terms, nulls; a group of copies isn't paired with itself in full."""
+    r = random.Random(7)
+    words = ["common", "usual", *[f"rare{i}" for i in range(12)]]
+    rows = []
+    for i in range(160):
+        title = " ".join(dict.fromkeys(r.choice(words[:2]) if r.random() < 0.5 else r.choice(words) for _ in range(r.randint(0, 6))))
+        rows.append((i, r.choice(["p", "q", None]), title if i % 11 else None, r.choice(["s1", "S1 ", "s2", f"own{i}", None])))
+    rows += [(1000 + i, "p", "common rare1 rare2", "s1") for i in range(60)]
+    items = [(i, p, (t or "").split(), t, s) for i, p, t, s in rows]
+    df = spark.createDataFrame(items, "id long, block string, terms array<string>, title string, summary string").repartition(3)
+    want = {}
+    for i, p, w, t, s in items:
+        for j, q, v, u, z in items:
+            both = len(set(w) & set(v))
+            if i == j or p is None or p != q or not both:
+                continue
+            score = both / min(len(w), len(v)) + (0.18 if t is not None and u is not None and t.strip().lower() == u.strip().lower() else 0)
+            score += (0.22 if s is not None and z is not None and s.strip().lower() == z.strip().lower() else 0) + (0.2 if both / (len(w) + len(v) - both) >= 0.8 else 0)
+            if round(score, 6) >= 0.45:
+                want.setdefault(i, []).append((-round(score, 6), j))
+    got = {}
+    for x in memory.advise(df, ["block"]).collect():
+        got.setdefault(x.a_id, []).append((x["rank"], -round(x.score, 6), x.b_id))
+    assert {i: [(s, j) for _, s, j in sorted(v)] for i, v in got.items()} == {i: sorted(v)[:3] for i, v in want.items()}
