@@ -138,3 +138,35 @@ def from_base64url(code: Column) -> Column:
     plain = F.translate(code, "-_", "+/")
     padded = F.concat(plain, F.repeat(F.lit("="), F.pmod(-F.length(plain), F.lit(4))))
     return F.decode(F.try_to_binary(padded, F.lit("base64")), "UTF-8")
+
+
+#: Runs of one script: Han and kana are written without blanks between words.
+_RUNS = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]+|[\p{L}\p{N}_&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]]+)"
+_UNSPACED = r"^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]"
+
+
+def segments(text: Column) -> Column:
+    """Lower-cased words in order; a run of Han or kana gives its characters and every two neighbours, so that a word inside a sentence is found.
+
+    Other scripts give what `tokens` gives, cut where such a run begins or ends. A null text gives null.
+    """
+    runs = F.regexp_extract_all(F.lower(text), F.lit(_RUNS), F.lit(1))
+
+    def parts(run: Column) -> Column:
+        n = F.length(run)
+        at = F.sequence(F.lit(1), n)
+        grams = F.flatten(F.transform(at, lambda i: F.when(i < n, F.array(F.substr(run, i, F.lit(1)), F.substr(run, i, F.lit(2)))).otherwise(F.array(F.substr(run, i, F.lit(1))))))
+        return F.when(F.regexp_like(run, F.lit(_UNSPACED)), grams).otherwise(F.array(run))
+
+    return F.flatten(F.transform(runs, parts))
+
+
+def query_segments(text: Column) -> Column:
+    """Distinct segments of a query: of a Han or kana run, the neighbours in twos alone (or its one character)."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(_RUNS), F.lit(1))
+
+    def parts(run: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(2)))
+        return F.when(F.regexp_like(run, F.lit(_UNSPACED)), grams).otherwise(F.array(run))
+
+    return F.array_distinct(F.flatten(F.transform(runs, parts)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpline.functions.text import tokens
+from kelpline.functions.text import query_segments, segments, tokens
 from kelpline.sources.store import saved
 
 K1, B = 1.2, 0.75
@@ -15,13 +17,13 @@ K1, B = 1.2, 0.75
 ITSELF = ""
 
 
-def postings(docs: DataFrame, key: list[str], text: str, terms: DataFrame | None = None, itself: bool = False) -> DataFrame:
+def postings(docs: DataFrame, key: list[str], text: str, terms: DataFrame | None = None, itself: bool = False, words: Callable[[Column], Column] = tokens) -> DataFrame:
     """docs -> (key..., length, term, tf); of the given terms alone if there are any; with a row (ITSELF) a document if asked for.
 
-    length counts all tokens of the document. Other terms go before anything is counted. explode_outer keeps Spark from
+    length counts all tokens of the document, as `words` cuts it. Other terms go before anything is counted. explode_outer keeps Spark from
     adding a filter on the exploded array, which would tokenize every text once more.
     """
-    t = docs.select(*key, tokens(F.col(text)).alias("terms"))
+    t = docs.select(*key, words(F.col(text)).alias("terms"))
     own = F.array_append(F.coalesce("terms", F.array().cast("array<string>")), F.lit(ITSELF)) if itself else F.col("terms")
     flat = t.select(*key, F.size("terms").alias("length"), F.explode_outer(own).alias("term")).filter("term is not null")
     if terms is not None:
@@ -29,21 +31,22 @@ def postings(docs: DataFrame, key: list[str], text: str, terms: DataFrame | None
     return flat.groupBy(*key, "length", "term").agg(F.count("*").alias("tf"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, words: Callable[[Column], Column] = tokens) -> DataFrame:
     """(query_id, query) -> (query_id, n_terms, term), terms distinct."""
-    t = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("terms"))
+    t = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("terms"))
     return t.select("query_id", F.size("terms").alias("n_terms"), F.explode_outer("terms").alias("term")).filter("term is not null")
 
 
-def bm25(docs: DataFrame, key: list[str], text: str, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, key: list[str], text: str, queries: DataFrame, k1: float = K1, b: float = B, unspaced: bool = False) -> DataFrame:
     """-> (query_id, key..., score, matched, n_terms) for every document with at least one query term.
 
     Texts are read once: the postings of the terms that some query holds are saved, with a row for each document itself,
     which gives the number and the average length of all and takes no part in the join by term. Those are one row and ride
     along as a broadcast; the terms' weights are as many as the queries' terms, and Spark's size check says how they join.
+    unspaced looks into runs of Han and kana, by their characters in twos.
     """
-    q = query_terms(queries)
-    rows = saved(postings(docs, key, text, q.select("term").distinct(), itself=True), "postings")
+    q = query_terms(queries, query_segments if unspaced else tokens)
+    rows = saved(postings(docs, key, text, q.select("term").distinct(), itself=True, words=segments if unspaced else tokens), "postings")
     own = rows.filter(F.col("term") == ITSELF)
     stats = own.agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("length")) / F.sum(F.when(F.col("length").isNotNull(), F.col("tf")))).alias("avg_length"))
     used = rows.filter(F.col("term") != ITSELF)
