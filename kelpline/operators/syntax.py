@@ -139,7 +139,7 @@ def symbols_of(tokens: DataFrame) -> DataFrame:
 
     first and last are the range of a symbol's tokens. Ids are language:path:owner:name:parameters:start line:end line.
     """
-    t = _streams(tokens)
+    t = saved(_streams(tokens).filter("kind = 'word'"), "streams")  # declarations and members begin at a word
     found = saved(_declarations(t), "declarations")
     found = saved(found.unionByName(_members(t, found)), "found")
     script, python = F.col("language").isin(*SCRIPT), F.col("language") == "python"
@@ -267,7 +267,7 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     and CALLS. Bases within the file are looked up for TypeScript and JavaScript only. A path stands for one file; other
     languages, null and empty sources have no rows.
     """
-    tokens = saved(token_table(files), "tokens")
+    tokens = saved(token_table(files).filter("kind <> 'comment'").drop("start", "stop"), "tokens")
     symbols = saved(symbols_of(tokens), "symbols")
     none = F.lit(None).cast("string")
     owners = symbols.select(F.col("id").alias("parent_id"), F.col("type").alias("owner_type"))
@@ -276,7 +276,7 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     heritage = saved(heritage_of(tokens, symbols), "heritage")
     known = symbols.withColumn("name", F.when(F.col("language").isin(*SCRIPT), F.col("name")))
     up = members.heritage_edges(known, heritage).select("*", F.when((F.col("confidence") > 0.9) & F.col("type").isin("EXTENDS", "IMPLEMENTS"), "same-file").alias("reason"))
-    bound = members.import_edges(symbols, imports_of(tokens))
-    access = members.access_edges(symbols, uses_of(tokens, symbols))
-    calls = call_edges(calls_of(tokens, symbols), symbols).withColumn("reason", none)
+    bound = members.import_edges(symbols, saved(imports_of(tokens), "imports"))
+    access = members.access_edges(symbols, saved(uses_of(tokens, symbols), "uses"))
+    calls = call_edges(saved(calls_of(tokens, symbols), "calls"), symbols).withColumn("reason", none)
     return symbols, has.unionByName(bound).unionByName(up).unionByName(access).unionByName(calls)

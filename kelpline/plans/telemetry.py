@@ -322,13 +322,13 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("dedupe_key", "task_id", F.element_at(F.array(*map(F.lit, EVENTS)), F.col("k") + 1).alias("event"), (F.col("at") + F.make_dt_interval("k")).alias("at"))
 
 
-@family.add("st2_task_stream", f"WITH RECURSIVE {_TASK_STREAM} SELECT k AS dedupe_key, t AS task_id, action, ms AS at_ms, shown AS active_id FROM s WHERE action IS NOT NULL")
+@family.add("stream_st2_active_tasks", f"WITH RECURSIVE {_TASK_STREAM} SELECT k AS dedupe_key, t AS task_id, action, ms AS at_ms, shown AS active_id FROM s WHERE action IS NOT NULL")
 def st2_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each task event decided by the active task of its key, in keyed state."""
     return decided(spark, task_events(spark, sf_dir), "task-stream").filter("action <> 'requeued'")
 
 
-@family.add("st3_stale_stream", f"WITH RECURSIVE {_TASK_STREAM} SELECT k AS dedupe_key, t AS task_id, started + 1800000 AS at_ms FROM z WHERE status = 'running' AND started + 1800000 <= (SELECT max(ms) - 600000 FROM n)")
+@family.add("stream_st3_stale_tasks", f"WITH RECURSIVE {_TASK_STREAM} SELECT k AS dedupe_key, t AS task_id, started + 1800000 AS at_ms FROM z WHERE status = 'running' AND started + 1800000 <= (SELECT max(ms) - 600000 FROM n)")
 def st3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running tasks whose timer fires when the watermark passes half an hour after their start."""
     return decided(spark, task_events(spark, sf_dir), "stale-stream").filter("action = 'requeued'").select("dedupe_key", "task_id", "at_ms")

@@ -19,8 +19,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/kelpline/{name}-{uuid.uuid4().hex}"
 
 
+#: Frees a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written under the shared folder and read again: a short plan that outlives executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written under the shared folder and read again: a short plan that outlives executors. Its shuffle files go at once."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
