@@ -202,7 +202,7 @@ def archive_records(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = A
 
     Defined cases: a null html is an empty payload; a null url has no target URI; rows that repeat the largest page_id
     of a payload are all responses; a null page_id ranks under all others, and where only such rows share a payload
-    they revisit null. Other columns are ignored; an empty table gives no archives and no rows.
+    all of them are responses. Other columns are ignored; an empty table gives no archives and no rows.
     """
     work = Workspace(pages.sparkSession, "warc")
     return read_archives(normalise_archives(write_archives(pages, work, min_bytes, archive_bytes), work))

@@ -29,6 +29,8 @@ def test_empty_table_and_repeated_rows(spark):
     assert archive_records(spark.createDataFrame([], SCHEMA)).collect() == []
     twice = spark.createDataFrame([(5, "u", "same", "s", 1), (5, "u", "same", "s", 1), (4, "u", "same", "s", 1)], SCHEMA)
     assert sorted((x.page_id, x.record_type, x.refers_to) for x in archive_records(twice).collect()) == [(4, "revisit", 5), (5, "response", None), (5, "response", None)]
+    nobody = spark.createDataFrame([(None, "u", "same", "s", 1), (None, "u", "same", "s", 1), (None, "u", "other", "s", 1), (3, "u", "other", "s", 1)], SCHEMA)
+    assert sorted(map(str, ((x.page_id, x.record_type, x.refers_to) for x in archive_records(nobody).collect()))) == ["(3, 'response', None)", "(None, 'response', None)", "(None, 'response', None)", "(None, 'revisit', 3)"]
 
 
 def test_normaliser_indexes_every_member():
