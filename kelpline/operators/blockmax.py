@@ -42,7 +42,9 @@ def build(docs: DataFrame, key: list[str], text: str, k1: float = K1, b: float =
     t = saved(t.repartitionByRange("length", *key).sortWithinPartitions("length", *key).withColumn("doc", F.monotonically_increasing_id()), "block-documents")
     totals = saved(t.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length")), "block-totals")
     block = F.shiftright("doc", BLOCK.bit_length() - 1)
-    one = t.select(block.alias("block"), "doc", "length", F.explode_outer("words").alias("term")).filter("term IS NOT NULL").groupBy("block", "term", "doc", "length").agg(F.count("*").alias("tf"))
+    # One shuffle, by block and term, serves both groupings.
+    one = t.select(block.alias("block"), "doc", "length", F.explode_outer("words").alias("term")).filter("term IS NOT NULL").repartition("block", "term")
+    one = one.groupBy("block", "term", "doc", "length").agg(F.count("*").alias("tf"))
     one = one.join(F.broadcast(totals))
     weight = _weight(F.col("tf"), F.col("length"), F.col("avg_length"), k1, b)
     blocks = one.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(weight).alias("top"), F.collect_list(F.struct("doc", "length", "tf")).alias("entries"))
