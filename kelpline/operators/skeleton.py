@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.functions.text import bound, path_tokens, tokens
-from kelpline.operators import fts
+from kelpline.operators.best import bm25_best
 from kelpline.operators.fusion import top_k
 
 # A hint on a file's role, and what its lower-cased path, its lower-cased text or a symbol's name must match.
@@ -90,8 +90,8 @@ def recall(files: DataFrame, symbols: DataFrame, queries: DataFrame, limit: int
     f = files.select("path", F.concat_ws(" ", "summary", F.array_join("imports", " "), F.array_join("exports", " "), F.array_join("top_symbols", " ")).alias("text"))
     s = symbols.select("symbol_id", "path", F.concat_ws(" ", "name", "signature", "parent_name").alias("text"))
     order = F.col("score").desc()
-    a = top_k(fts.bm25(f, ["path"], "text", queries), ["query_id"], [order, "path"], limit)
-    b = top_k(fts.bm25(s, ["symbol_id", "path"], "text", queries), ["query_id"], [order, "symbol_id"], limit)
+    a = top_k(bm25_best(f, ["path"], "text", queries, limit), ["query_id"], [order, "path"], limit)
+    b = top_k(bm25_best(s, ["symbol_id", "path"], "text", queries, limit), ["query_id"], [order, "symbol_id"], limit)
     best = a.select("query_id", "path", "score").union(b.select("query_id", "path", "score")).groupBy("query_id", "path").agg(F.max("score").alias("score"))
     return top_k(best, ["query_id"], [order, "path"], limit).drop("rank")
 
