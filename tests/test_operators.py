@@ -190,3 +190,22 @@ def test_fallback_is_by_query(spark):
     first = spark.createDataFrame([(1, "a")], "query_id int, path string")
     second = spark.createDataFrame([(1, "b"), (2, "c")], "query_id int, path string")
     assert sorted(map(tuple, fusion.fallback(first, second).collect())) == [(1, "a"), (2, "c")]
+
+
+def test_overlap_of_terms_with_other_characters(spark):
+    """Whole tokens are looked up among the tokens of the text, other terms by what is around them."""
+    text = F.lit("see a.b and xa.b, naïve")
+    assert one(spark, T.overlap_score(text, F.array(F.lit("a.b"), F.lit("naïve"), F.lit("na")))) == 2.5
+    assert one(spark, T.overlap_score(text, F.array(F.lit("b, na"), F.lit("absent")))) == 0.5
+
+
+def test_neighbours_of_the_items_alone(spark, tmp_path, monkeypatch):
+    """Query vectors that are no item never meet the vectors."""
+    from kelpline.plans import retrieval as Q
+
+    spark.range(200).selectExpr("id AS vec_id", "array(cast(id AS float), 1f) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked = []
+    knn = Q.vector.knn
+    monkeypatch.setattr(Q.vector, "knn", lambda v, q, k: asked.append(q.count()) or knn(v, q, k))
+    items = spark.createDataFrame([(0,), (40,), (41,)], "query_id long")
+    assert {r.query_id for r in Q.vector_hits(spark, str(tmp_path), items).collect()} == {0, 40} and asked == [2]
