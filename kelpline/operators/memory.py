@@ -204,20 +204,26 @@ def find_by_path(requests: DataFrame, memories: DataFrame) -> DataFrame:
 
     Tiers: 'record', a path features/<module>.json by the module's name; 'exact', a file by its whole path; 'basename', a
     bare file name that one file alone has; 'suffix', the end of one file's path alone. A bare name never goes by suffix.
-    Ties of the first two go to the least id. Files are joined by every suffix of their path, so all joins are equal ones.
+    Ties of the first two go to the least id. Files are joined by every suffix of their path, so all joins are equal ones,
+    and what is looked up is one row a key, however many memories share it.
     """
     r = requests.select("request_id", F.regexp_replace(F.regexp_replace("path", r"\\", "/"), "^/+", "").alias("want"))
     full = F.regexp_replace(F.concat(F.regexp_replace(F.regexp_replace("dir", r"\\", "/"), "/$", ""), F.lit("/"), "file"), "/{2,}", "/")
     f = memories.select("id", "dir", F.explode("files").alias("file")).select("id", full.alias("full"), F.element_at(F.split(F.regexp_replace("file", r"\\", "/"), "/"), -1).alias("base"))
     record = r.filter("startswith(want, 'features/')").select("request_id", F.regexp_replace(F.element_at(F.split("want", "/"), -1), "[.]json$", "").alias("module"))
-    record = record.join(memories.select("id", T.module_name(F.col("name")).alias("module")), "module").groupBy("request_id").agg(F.min("id").alias("id")).withColumn("tier", F.lit("record"))
-    exact = r.join(f, F.col("want") == F.col("full")).groupBy("request_id").agg(F.min("id").alias("id")).withColumn("tier", F.lit("exact"))
-    one = (F.min("id").alias("id"), F.count("*").alias("n"))
-    base = r.filter("NOT contains(want, '/')").join(f, F.col("want") == F.col("base")).groupBy("request_id").agg(*one).filter("n = 1").withColumn("tier", F.lit("basename"))
+    keyed = lambda rows, key: rows.groupBy(F.col(key).alias("key")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+
+    def answers(asked: DataFrame, want: str, rows: DataFrame, key: str, tier: str) -> DataFrame:
+        found = asked.join(keyed(rows, key), F.col(want) == F.col("key")).groupBy("request_id").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
+        return (found if tier in ("record", "exact") else found.filter("n = 1")).select("request_id", "id", F.lit(tier).alias("tier"))
+
+    record = answers(record, "module", memories.select("id", T.module_name(F.col("name")).alias("module")), "module", "record")
+    exact = answers(r, "want", f, "full", "exact")
+    base = answers(r.filter("NOT contains(want, '/')"), "want", f, "base", "basename")
     parts = F.split("full", "/")
     ends = f.filter(F.size(parts) > 2).select("id", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("end"))
-    suffix = r.filter("contains(want, '/')").join(ends, F.col("want") == F.col("end")).groupBy("request_id").agg(*one).filter("n = 1").withColumn("tier", F.lit("suffix"))
-    found = record.unionByName(exact).unionByName(base.drop("n")).unionByName(suffix.drop("n"))
+    suffix = answers(r.filter("contains(want, '/')"), "want", ends, "end", "suffix")
+    found = record.unionByName(exact).unionByName(base).unionByName(suffix)
     order = F.when(F.col("tier") == "record", 0).when(F.col("tier") == "exact", 1).otherwise(2)
     best = found.groupBy("request_id").agg(F.min_by(F.struct("tier", "id"), order).alias("best"))
     return r.select("request_id").join(best, "request_id", "left").select("request_id", "best.tier", "best.id")
