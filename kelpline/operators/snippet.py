@@ -2,17 +2,88 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from kelpline.functions.text import tokens
+from kelpline.operators.best import BLOCK_BYTES
 from kelpline.operators.fusion import top_k
+from kelpline.sources.store import saved
 
 #: Points for a technical term and for a query term, in the path and in the text.
 PATH_POINTS, TEXT_POINTS = (10, 3), (20, 5)
 BEFORE, AFTER = 3, 4
 
 
+def _terms_in(terms: list[str]):
+    """text -> the numbers of the terms that it holds. A term of word characters lies within a run of them, so each run is looked through once."""
+    number, odd = {}, {}
+    for k, term in enumerate(terms):
+        if mark := re.search(r"\W", term):
+            odd.setdefault(mark[0], []).append((term, k))
+        else:
+            number[term] = k
+    lengths, known, runs = sorted({len(x) for x in number}), {}, re.compile(r"\w+")
+
+    def inside(run: str) -> set[int]:
+        return {number[x] for size in lengths if size <= len(run) for i in range(len(run) - size + 1) if (x := run[i : i + size]) in number}
+
+    def of(text: str | None) -> set[int]:
+        found: set[int] = set()
+        for run in set(runs.findall(text or "")):
+            if (there := known.get(run)) is None:
+                there = inside(run)
+                if len(run) <= 64:
+                    known[run] = there
+            found |= there
+        return found | {k for mark, some in odd.items() if mark in (text or "") for term, k in some if term in text}
+
+    return of
+
+
+def _scan(limit: int, schema: pa.Schema):
+    """A block's files (path, low, text) and the terms of all queries -> each query's first `limit` files there by score and path."""
+
+    def of(files: pa.Table, asked: pa.Table) -> pa.Table:
+        if not files.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        files, asked = files.take(pc.sort_indices(files, sort_keys=[("path", "ascending")])), asked.sort_by("query_id")
+        terms = pc.unique(asked["term"])
+        held, hits = _terms_in(terms.to_pylist()), ([[] for _ in terms], [[] for _ in terms])
+        code = files["path"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        first = np.diff(code, prepend=-1) != 0
+        for i, low, text in zip(np.cumsum(first) - 1, files["low"], files["text"], strict=True):
+            for side, value in zip(hits, (low, text), strict=True):
+                for k in held(value.as_py()):
+                    side[k].append(i)
+        hits = [[np.array(x, np.int64) for x in side] for side in hits]
+        paths, term, technical = files["path"].combine_chunks().take(pa.array(np.flatnonzero(first))), pc.index_in(asked["term"], value_set=terms).to_numpy(), asked["technical"].to_pylist()
+        query = asked["query_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.diff(query, prepend=-1))
+        score, of_query, found, points = np.zeros(len(paths), np.int64), [], [], []
+        for lo, hi in zip(starts, np.append(starts[1:], len(query)), strict=True):
+            score[:] = 0
+            for i in range(lo, hi):
+                for side, worth in zip(hits, (PATH_POINTS, TEXT_POINTS), strict=True):
+                    np.add.at(score, side[term[i]], worth[not technical[i]])
+            best = np.argsort(-score, kind="stable")[:limit]  # paths are in order
+            best = best[score[best] > 0]
+            of_query.append(np.full(len(best), lo))
+            found.append(best)
+            points.append(score[best])
+        rows = [asked["query_id"].combine_chunks().take(pa.array(np.concatenate(of_query))), paths.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(points))]
+        return pa.table([c.cast(f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+
+    return of
+
+
 def cold_start(files: DataFrame, terms: DataFrame, limit: int = 5, most_bytes: int = 262144) -> DataFrame:
     """files(path, size, content), terms(query_id, n, term, technical) -> the best files of each query with a snippet.
 
@@ -20,26 +91,27 @@ def cold_start(files: DataFrame, terms: DataFrame, limit: int = 5, most_bytes: i
     term found (technical ones first, then by n) lies in the path, else the earliest place of any term in the text; it
     shows three lines before and four after. Equal scores go by path. Files above most_bytes are left out.
 
-    The distinct terms of the stated queries ride along as one row, a file is searched once for each, and only what is
-    found goes on; the texts are read again for the best files alone. explode_outer keeps Spark from searching twice.
+    Files fall into blocks of bounded size; each meets the terms, and only the first `limit` files of a query in a block
+    go on. What a snippet needs is looked up in the best files alone.
     """
     t = terms.filter("term <> ''").select("query_id", "n", F.lower("term").alias("term"), "technical").distinct()
-    wanted = t.agg(F.array_sort(F.collect_set("term")).alias("wanted"))
     small = files.filter(F.col("size") <= most_bytes)
-    seen = small.select("path", F.lower("path").alias("low"), F.lower("content").alias("text")).join(wanted)
-    found = F.transform("wanted", lambda w: F.struct(w.alias("term"), F.contains(F.col("low"), w).alias("in_path"), F.call_function("instr", F.col("text"), w).alias("at")))
-    hits = seen.select("path", F.explode_outer(F.filter(found, lambda h: h["in_path"] | (h["at"] > 0))).alias("h")).filter("h IS NOT NULL").select("path", "h.*").join(t, "term")
-
-    def points(hit, of):
-        return F.when(hit, F.when(F.col("technical"), of[0]).otherwise(of[1])).otherwise(0)
+    n = max(files.sparkSession.sparkContext.defaultParallelism, -(-(small.agg(F.sum("size")).first()[0] or 0) // BLOCK_BYTES))
+    blocks = files.sparkSession.range(n).withColumnRenamed("id", "block")
+    kinds = StructType([t.schema["query_id"], *StructType.fromDDL("path string, score long")])
+    seen = small.select(F.pmod(F.xxhash64("path"), F.lit(n)).alias("block"), "path", "content").repartition("block").select("block", "path", F.lower("path").alias("low"), F.lower("content").alias("text"))
+    few = seen.groupBy("block").cogroup(t.crossJoin(blocks).groupBy("block")).applyInArrow(_scan(limit, to_arrow_schema(kinds)), kinds)
+    best = saved(top_k(few, ["query_id"], [F.col("score").desc(), F.col("path").asc_nulls_last()], limit), "scan-best")
 
-    score = points(F.col("in_path"), PATH_POINTS) + points(F.col("at") > 0, TEXT_POINTS)
-    order = F.struct((~F.col("technical")).alias("late"), "n", "term", "in_path")
-    place = F.when(F.col("at") > 0, F.struct(F.col("at"), (~F.col("technical")).alias("late"), "n", "term"))
-    g = hits.groupBy("query_id", "path").agg(F.sum(score).alias("score"), F.min(order).alias("first"), F.min(place).alias("earliest"))
+    asked = t.groupBy("query_id").agg(F.collect_list(F.struct("n", "term", "technical")).alias("asked"))
+    at = best.join(small.select("path", F.lower("path").alias("low"), F.lower("content").alias("text")), "path").join(asked, "query_id")
+    hit = lambda x: F.struct((~x["technical"]).alias("late"), x["n"].alias("n"), x["term"].alias("term"), F.coalesce(F.contains("low", x["term"]), F.lit(False)).alias("in_path"), F.coalesce(F.call_function("instr", F.col("text"), x["term"]), F.lit(0)).alias("at"))
+    at = at.select("query_id", "path", "rank", "score", F.filter(F.transform("asked", hit), lambda h: h["in_path"] | (h["at"] > 0)).alias("hits"))
+    order = F.array_min(F.transform("hits", lambda h: F.struct(h["late"].alias("late"), h["n"].alias("n"), h["term"].alias("term"), h["in_path"].alias("in_path"))))
+    place = F.array_min(F.transform(F.filter("hits", lambda h: h["at"] > 0), lambda h: F.struct(h["at"].alias("at"), h["late"].alias("late"), h["n"].alias("n"), h["term"].alias("term"))))
+    g = at.groupBy("query_id", "path", "rank", "score").agg(F.min(order).alias("first"), F.min(place).alias("earliest"))
     lead = F.col("first.in_path")
-    g = g.select("query_id", "path", "score", F.when(lead, 0).otherwise(F.col("earliest.at") - 1).alias("offset"), F.when(lead, F.col("first.term")).otherwise(F.col("earliest.term")).alias("token"))
-    best = top_k(g, ["query_id"], [F.col("score").desc(), "path"], limit)
+    best = g.select("query_id", "path", "rank", "score", F.when(lead, 0).otherwise(F.col("earliest.at") - 1).alias("offset"), F.when(lead, F.col("first.term")).otherwise(F.col("earliest.term")).alias("token"))
     lines = F.split("content", "\n")
     before = F.substr("content", F.lit(1), F.col("offset"))
     r = best.join(small.select("path", "content"), "path").withColumn("line", F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from kelpline.operators import memory
+from kelpline.operators import memory, snippet
 
 
 @pytest.fixture
@@ -58,3 +58,13 @@ def test_files_that_hold_short_items(spark):
     files = spark.createDataFrame([("a", "xone two three"), ("b", "p one two three four five six seven"), ("c", "one\ntwo three four five sixth"), ("d", None)], "path string, content string")
     items = spark.createDataFrame([(1, "one two"), (2, "one two three four five six"), (3, "one two three four five"), (4, "zero")], "query_id int, query string")
     assert sorted(map(tuple, retrieval.holders(files, items).collect())) == [(1, "a"), (1, "b"), (2, "b"), (3, "b")]
+
+
+def test_cold_start_of_terms_that_most_files_hold(spark, joined):
+    rows = [(f"src/{i:03}.ts", 20, f"xalphax b{i}\nnaïve" if i % 2 else "alpha /7") for i in range(300)] + [(None, 5, "alpha")]
+    files = spark.createDataFrame(rows, "path string, size long, content string")
+    terms = spark.createDataFrame([(q, n, x, x == "/7") for q in range(30) for n, x in enumerate(("alpha", "naïve" if q % 2 else "/7"))], "query_id int, n int, term string, technical boolean")
+    got = snippet.cold_start(files, terms)
+    assert joined(got) < 3000
+    best = sorted((r.query_id, r["rank"], r.path, r.score, r.token) for r in got.collect())
+    assert best == [(q, k, f"src/{2 * k + q % 2:03}.ts", 10 if q % 2 else 25, "alpha") for q in range(30) for k in range(5)]
