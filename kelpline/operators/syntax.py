@@ -63,6 +63,11 @@ def _modified() -> tuple[Column, Column, Column]:
     return words, line, exported
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df saved, and joined by sorting: it grows with the sources, and Spark's size check would take its files, a twentieth of its rows, for its size."""
+    return saved(df, name).hint("merge")
+
+
 def within(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """points (path, at, ...) with the ranges (path, first, last, ...) that hold them strictly: one row a pair, equi-joined by bins."""
     cut = ranges.withColumn("bin", F.explode(F.sequence(F.expr(f"first div {BIN}"), F.expr(f"last div {BIN}"))))
@@ -139,15 +144,15 @@ def symbols_of(tokens: DataFrame) -> DataFrame:
 
     first and last are the range of a symbol's tokens. Ids are language:path:owner:name:parameters:start line:end line.
     """
-    t = saved(_streams(tokens).filter("kind = 'word'"), "streams")  # declarations and members begin at a word
-    found = saved(_declarations(t), "declarations")
-    found = saved(found.unionByName(_members(t, found)), "found")
+    t = _kept(_streams(tokens).filter("kind = 'word'"), "streams")  # declarations and members begin at a word
+    found = _kept(_declarations(t), "declarations")
+    found = _kept(found.unionByName(_members(t, found)), "found")
     script, python = F.col("language").isin(*SCRIPT), F.col("language") == "python"
     counts = _parameters(tokens, found.filter("params IS NOT NULL"))
-    receivers = tokens.filter("kind = 'word'").join(found.filter("receiver IS NOT NULL").select("path", F.col("receiver").alias("up")), ["path", "up"]).groupBy("path", F.col("up").alias("receiver")).agg(F.max_by("text", "i").alias("of"))
+    receivers = tokens.filter("kind = 'word'").join(found.filter("receiver IS NOT NULL").select("path", F.col("receiver").alias("up")), ["path", "up"]).groupBy("path", F.col("up").alias("receiver")).agg(F.max_by("text", "i").alias("of")).hint("merge")
     rows = found.join(counts, ["path", "params"], "left").join(receivers, ["path", "receiver"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     holders = found.filter("type <> 'Variable'").select("path", F.col("at").alias("first"), "last", F.col("name").alias("owner"), F.col("type").alias("owner_type"), F.col("export").alias("outer"))
-    held = within(rows.select("path", "at"), holders).groupBy("path", "at").agg(F.max_by(F.struct(F.col("first").alias("at"), "owner", "owner_type"), "first").alias("holder"), F.max("outer").alias("outer"))
+    held = within(rows.select("path", "at"), holders).groupBy("path", "at").agg(F.max_by(F.struct(F.col("first").alias("at"), "owner", "owner_type"), "first").alias("holder"), F.max("outer").alias("outer")).hint("merge")
     rows = rows.join(held, ["path", "at"], "left")
     # Go's methods belong to the struct of the receiver's type, wherever it stands; Java's and Go's classes to nobody.
     struct = Window.partitionBy("path", "name").orderBy(F.desc("at"))
@@ -157,7 +162,7 @@ def symbols_of(tokens: DataFrame) -> DataFrame:
     kind = F.when(python & (F.col("type") == "Function") & (own["owner_type"] == "Class"), "Method").otherwise(F.col("type"))
     owner = F.coalesce(own["owner"], F.when(F.col("receiver").isNotNull(), F.col("of")), F.lit("root"))
     rows = rows.withColumn("parent_at", own["at"]).withColumn("type", kind).withColumn("id", F.concat_ws(":", "language", "path", owner, "name", "n", "line", "end_line"))
-    parents = rows.select("path", F.col("at").alias("parent_at"), F.col("id").alias("parent_id"), F.col("name").alias("parent"))
+    parents = rows.select("path", F.col("at").alias("parent_at"), F.col("id").alias("parent_id"), F.col("name").alias("parent")).hint("merge")
     exported = F.when(script, F.col("export") | F.coalesce("outer", F.lit(False))).when(python & (F.col("type") == "Variable"), ~F.col("parent").startswith("_")).when(python, ~F.col("name").startswith("_")).otherwise(F.col("name").rlike("^[A-Z]"))
     return rows.join(parents, ["path", "parent_at"], "left").select(
         "id", "name", "type", F.col("path").alias("file_path"), "language", F.col("line").alias("start_line"), "end_line", "modifiers", "parent_id", exported.alias("exported"), F.col("at").alias("first"), "last", "body", "params",
@@ -254,7 +259,7 @@ def uses_of(tokens: DataFrame, symbols: DataFrame) -> DataFrame:
     t = tokens.filter("kind <> 'comment'").select("*", *(F.lag("text", k).over(by).alias(f"p{k}") for k in (1, 2)), F.lag("text", 3).over(by).alias("p3"), F.lead("text").over(by).alias("after"))
     t = t.filter("kind = 'word' AND p1 = '.' AND (p3 IS NULL OR p3 <> '.')")
     around = symbols.filter("type IN ('Function', 'Method')").select(F.col("file_path").alias("path"), "language", F.col("id").alias("from_id"), "first", "last")
-    receivers = tokens.filter("kind = 'word'").join(symbols.filter("language = 'go' AND type = 'Method'").select(F.col("file_path").alias("path"), (F.col("first") + 1).alias("up"), F.col("id").alias("from_id")), ["path", "up"]).groupBy("from_id").agg(F.min_by("text", "i").alias("receiver"))
+    receivers = tokens.filter("kind = 'word'").join(symbols.filter("language = 'go' AND type = 'Method'").select(F.col("file_path").alias("path"), (F.col("first") + 1).alias("up"), F.col("id").alias("from_id")), ["path", "up"]).groupBy("from_id").agg(F.min_by("text", "i").alias("receiver")).hint("merge")
     rows = within(t.select("path", F.col("i").alias("at"), "text", "p2", "after"), around).join(receivers, "from_id", "left")
     this = F.when(F.col("language") == "python", "self").when(F.col("language") == "go", F.col("receiver")).otherwise(F.lit("this"))
     return rows.filter(F.col("p2") == this).select("from_id", F.col("text").alias("name"), F.when(F.col("after") == "=", "write").otherwise("read").alias("mode")).distinct()
@@ -267,16 +272,16 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     and CALLS. Bases within the file are looked up for TypeScript and JavaScript only. A path stands for one file; other
     languages, null and empty sources have no rows.
     """
-    tokens = saved(token_table(files).filter("kind <> 'comment'").drop("start", "stop"), "tokens")
-    symbols = saved(symbols_of(tokens), "symbols")
+    tokens = _kept(token_table(files).filter("kind <> 'comment'").drop("start", "stop"), "tokens")
+    symbols = _kept(symbols_of(tokens), "symbols")
     none = F.lit(None).cast("string")
     owners = symbols.select(F.col("id").alias("parent_id"), F.col("type").alias("owner_type"))
     has = symbols.filter("type IN ('Method', 'Variable')").join(owners, "parent_id").filter("owner_type = 'Class' OR (type = 'Variable' OR language = 'java') AND owner_type = 'Interface'")
     has = has.select(F.col("parent_id").alias("from_id"), F.col("id").alias("to_id"), F.when(F.col("type") == "Method", "HAS_METHOD").otherwise("HAS_PROPERTY").alias("type"), F.lit(1.0).alias("confidence"), none.alias("reason"))
-    heritage = saved(heritage_of(tokens, symbols), "heritage")
+    heritage = _kept(heritage_of(tokens, symbols), "heritage")
     known = symbols.withColumn("name", F.when(F.col("language").isin(*SCRIPT), F.col("name")))
     up = members.heritage_edges(known, heritage).select("*", F.when((F.col("confidence") > 0.9) & F.col("type").isin("EXTENDS", "IMPLEMENTS"), "same-file").alias("reason"))
-    bound = members.import_edges(symbols, saved(imports_of(tokens), "imports"))
-    access = members.access_edges(symbols, saved(uses_of(tokens, symbols), "uses"))
-    calls = call_edges(saved(calls_of(tokens, symbols), "calls"), symbols).withColumn("reason", none)
+    bound = members.import_edges(symbols, _kept(imports_of(tokens), "imports"))
+    access = members.access_edges(symbols, _kept(uses_of(tokens, symbols), "uses"))
+    calls = call_edges(_kept(calls_of(tokens, symbols), "calls"), symbols).withColumn("reason", none)
     return symbols, has.unionByName(bound).unionByName(up).unionByName(access).unionByName(calls)
