@@ -83,3 +83,17 @@ def test_stale_tasks_are_queued_again(spark, tmp_path):
         [("a", 1, "queued", 0, 1), ("a", 1, "running", 1, 1), ("a", 1, "requeued", 31, 1), ("a", 4, "reused", 61, 1), ("a", 1, "running", 62, 1), ("a", 1, "done", 63, 1), ("a", 5, "queued", 64, 5)], key=repr
     )
     assert not [x for x in got(df) if x[2] == "requeued" and x[0] != "a"]
+
+
+def test_keys_of_one_bucket_keep_their_own_tasks_and_deadlines(spark, tmp_path):
+    where, out = str(tmp_path / "in"), f"file://{tmp_path}/run"
+    starts = {"a": 1, "b": 5, "c": 19, "d": 20, "e": 45}
+    put(spark, where, [(k, ord(k), e, m) for k, s in starts.items() for e, m in (("submit", 0), ("start", s))] + [("f", 9, "submit", 0)])
+    drain(spark, decisions(source(spark, where), buckets=1), out)
+    put(spark, where, [("x", 3, "submit", 60)])  # the watermark passes ten minutes before it
+    df = drain(spark, decisions(source(spark, where), buckets=1), out)
+    assert [(k, m) for k, _, action, m, _ in got(df) if action == "requeued"] == [("a", 31), ("b", 35), ("c", 49)]
+    put(spark, where, [("e", ord("e"), "finish", 61), ("d", 7, "submit", 61), ("y", 4, "submit", 90)])
+    df = drain(spark, decisions(source(spark, where), buckets=1), out)
+    late = [x for x in got(df) if x[3] >= 50 and x[0] in "de"]
+    assert late == sorted([("d", 7, "reused", 61, ord("d")), ("d", ord("d"), "requeued", 50, ord("d")), ("e", ord("e"), "done", 61, ord("e"))], key=repr)
