@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kelpline.functions import text as T
 from kelpline.functions.language import glob_regex
 from kelpline.operators.fusion import top_k
+from kelpline.sources.store import saved
 
 STATUS_WEIGHT = {"active": 8, "stale": -8, "expired": -20, "superseded": -16}
 CONFIRMED_WEIGHT = {"human-confirmed": 6, "agent-inferred": 2, "suggested": -100}
@@ -133,31 +134,49 @@ def advise(items: DataFrame, block: list[str], least: float = 0.45, k: int = 3)
     score reaches `least` only where the smaller of two classes shares that part of its terms with the other, or
     SAME_SUMMARY less where the summaries are equal. So one of its rarest terms is shared, as many as may be missed and one
     more, and only these are joined: common terms bring no two classes together unless a title has little else.
+
+    A pair is scored where it meets, at the first of those terms that both have, so no pair is shuffled before a task has
+    cut its own to the best of each class: by score and the least id, k + 1 classes give every row that can be wanted.
     """
     low = lambda c: F.lower(F.trim(c))
+    mark = lambda c: F.substring(F.unhex(F.sha2(c, 256)), 1, 16)
     t = items.dropna(subset=block).select("id", *block, "terms", low("title").alias("title"), low("summary").alias("summary")).filter(F.size("terms") > 0)
-    t = t.withColumn("class", F.sha2(F.to_json(F.struct(*block, "terms", "title", "summary")), 256))
-    members = top_k(t.select("class", "id"), ["class"], ["id"], k + 1, "place").select(F.col("class").alias("b"), F.col("id").alias("b_id"))
-    c = t.groupBy("class").agg(*[F.first(x).alias(x) for x in (*block, "terms", "title", "summary")]).withColumn("n", F.size("terms"))
-    words = c.select("class", "n", *block, "summary", F.explode("terms").alias("term"))
-    rare = words.join(words.groupBy(*block, "term").agg(F.count("*").alias("df")), [*block, "term"])
-    rare = rare.withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy("df", "term")))
+    # Texts are compared for equality alone: 16 bytes of their SHA-256 stand for them.
+    t = t.select("id", *block, "terms", mark("title").alias("title"), mark("summary").alias("summary"), mark(F.to_json(F.struct(*block, "terms", "title", "summary"))).alias("class"))
+    t = saved(t.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("id"))), "advice-items")
+    members = t.filter(F.col("place") <= k + 1).select(F.col("class").alias("b"), F.col("id").alias("b_id"))
+    c = t.filter("place = 1").select("class", F.col("id").alias("least"), *block, "terms", "title", "summary", F.size("terms").alias("n"))
+    words = c.select(*block, F.explode("terms").alias("term"))
+    df = words.groupBy(*block, "term").agg(F.count("*").alias("df"))
+    terms = c.withColumn("term", F.explode("terms"))
+    ranked = terms.select("class", *block, "term").join(df, [*block, "term"]).groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("rare"))
+    c = saved(c.join(ranked, "class"), "advice-classes")
+    columns = ("class", "least", "terms", "title", "summary", "n")
+    same = F.coalesce(F.col("a_summary") == F.col("b_summary"), F.lit(False))
 
     def meet(share: float, on: list[str]) -> DataFrame:
-        """Pairs (a, b) of which a has no more terms, that may share so much of a's."""
-        first = rare.filter(F.col("nth") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1)
-        x, y = (r.select(F.col("class").alias(name), F.col("n").alias(f"{name}_n"), *on, "term") for r, name in ((first, "a"), (words, "b")))
-        return x.join(y, [*on, "term"]).filter("a_n < b_n OR (a_n = b_n AND a < b)").select("a", "b")
-
-    pairs = meet(least, block).union(meet(max(0.0, least - SAME_SUMMARY), [*block, "summary"])).distinct()
-    both_ways = pairs.union(pairs.select(F.col("b"), F.col("a"))).union(c.select(F.col("class"), F.col("class")))
-    side = {x: c.select(F.col("class").alias(x), *[F.col(y).alias(f"{x}_{y}") for y in ("terms", "n", "title", "summary")]) for x in "ab"}
-    r = both_ways.join(side["a"], "a").join(side["b"], "b").withColumn("both", F.size(F.array_intersect("a_terms", "b_terms")))
+        """Pairs (a, b) of which a has no more terms, that may share so much of a's, each once."""
+        first = F.slice("rare", 1, (F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1).cast("int"))
+        key = [F.col(x).alias(f"on_{x}") for x in on]
+        x = c.select(*key, *[F.col(y).alias(f"a_{y}") for y in columns], first.alias("first")).withColumn("term", F.explode("first"))
+        y = c.select(*key, *[F.col(y).alias(f"b_{y}") for y in columns], F.explode("terms").alias("term"))
+        r = x.join(y, [*[f"on_{x}" for x in on], "term"]).filter("a_n < b_n OR (a_n = b_n AND a_class < b_class)")
+        return r.filter(F.element_at(F.array_intersect("first", "b_terms"), 1) == F.col("term")).drop("first", "term", *[f"on_{x}" for x in on])
+
+    met = meet(least, block).filter(~same).unionByName(meet(max(0.0, least - SAME_SUMMARY), [*block, "summary"]))
+    r = met.withColumn("both", F.size(F.array_intersect("a_terms", "b_terms")))
     jaccard = F.col("both") / (F.col("a_n") + F.col("b_n") - F.col("both"))
     score = F.col("both") / F.least("a_n", "b_n") + F.when(F.col("a_title") == F.col("b_title"), SAME_TITLE).otherwise(0.0)
     score = score + F.when(F.col("a_summary") == F.col("b_summary"), SAME_SUMMARY).otherwise(0.0) + F.when(jaccard >= 0.8, ALIKE).otherwise(0.0)
-    r = r.filter("both > 0").select("a", "b", F.round(score, 6).alias("score")).filter(F.col("score") >= least)
-    best = top_k(r.join(members, "b").select("a", "b_id", "score"), ["a"], [F.col("score").desc(), "b_id"], k + 1, "place").drop("place")
+    r = r.withColumn("score", F.round(score, 6)).filter(F.col("score") >= least)
+    way = lambda a, b: F.struct(F.col(f"{a}_class").alias("a"), F.col(f"{b}_class").alias("b"), F.col(f"{b}_least").alias("least"))
+    both_ways = r.select("score", F.explode(F.array(way("a", "b"), way("b", "a"))).alias("w")).select("w.*", "score")
+    alone = F.lit(1.0) + F.when(F.col("title").isNotNull(), SAME_TITLE).otherwise(0.0) + F.when(F.col("summary").isNotNull(), SAME_SUMMARY).otherwise(0.0) + F.lit(ALIKE)
+    own = c.select(F.col("class").alias("a"), F.col("class").alias("b"), "least", F.round(alone, 6).alias("score")).filter(F.col("score") >= least)
+    # A bare row number under its bound: Spark then cuts each task's rows before the shuffle (a window group limit).
+    nearest = F.row_number().over(Window.partitionBy("a").orderBy(F.col("score").desc(), "least"))
+    near = both_ways.unionByName(own).withColumn("place", nearest).filter(F.col("place") <= k + 1).select("a", "b", "score")
+    best = top_k(near.join(members, "b").select("a", "b_id", "score"), ["a"], [F.col("score").desc(), "b_id"], k + 1, "place").drop("place")
     own = t.select(F.col("class").alias("a"), F.col("id").alias("a_id")).join(best, "a").filter("a_id <> b_id")
     rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.col("score").desc(), "b_id"))
     return own.withColumn("rank", rank).filter(F.col("rank") <= k).select("a_id", "b_id", "score", "rank")

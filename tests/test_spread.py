@@ -179,3 +179,10 @@ def test_advice_against_all_pairs(spark):
     for x in memory.advise(df, ["block"]).collect():
         got.setdefault(x.a_id, []).append((x["rank"], -round(x.score, 6), x.b_id))
     assert {i: [(s, j) for _, s, j in sorted(v)] for i, v in got.items()} == {i: sorted(v)[:3] for i, v in want.items()}
+
+
+def test_advice_shuffles_no_pair_that_a_task_can_cut(spark):
+    items = [(i, "p", [f"w{i % 3}", f"own{i}"], f"w{i % 3} own{i}", f"text {i} " + "long " * 50) for i in range(60)]
+    df = spark.createDataFrame(items, "id long, block string, terms array<string>, title string, summary string")
+    plan = memory.advise(df, ["block"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit [a" in plan
