@@ -36,3 +36,13 @@ def test_empty_tables(spark):
     q = spark.createDataFrame([(1, "rare")], "query_id long, query string")
     assert blockmax.search(blockmax.build(docs.limit(0), ["doc_id"], "text"), q, 5)[0].collect() == []
     assert blockmax.search(blockmax.build(docs, ["doc_id"], "text"), q.limit(0), 5)[0].collect() == []
+
+
+def test_the_index_shuffles_texts_once_and_no_words(spark):
+    docs = corpus(spark, 40)
+    index = blockmax.build(docs, ["doc_id"], "text")
+    shards = index.rows.filter("term = ''").select(F.size("length").alias("n")).collect()
+    assert sum(r.n for r in shards) == docs.count()
+    # A row for each term of a shard, not for each word in each block.
+    terms = index.rows.filter("term <> ''").groupBy("shard", "term").count()
+    assert terms.filter("count > 1").count() == 0 and index.rows.count() == terms.count() + len(shards)
