@@ -32,3 +32,10 @@ def test_no_relation_is_compared_behind_its_join(spark):
         plan = q(spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
         join = min(i for i, line in enumerate(plan) if "Join" in line)
         assert not any("Aggregate" in line for line in plan[:join])
+
+
+def test_call_edges_keep_the_given_number_of_partitions(spark):
+    from kelpline.sources import fixtures
+
+    plan = fixtures.edges(spark, "/root/testdata/sf0.001").filter("type = 'CALLS'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in plan and plan.count("Repartition") == 1
