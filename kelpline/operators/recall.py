@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.operators.fusion import top_k
+from kelpline.sources.store import saved
 
 #: Scores of a symbol named in full and of one with the word in its name, and what a relation and a call pass on.
 NAMED, WORDED, RELATED, CALLER = 1.0, 0.8, 0.75, 0.7
@@ -43,7 +44,8 @@ def graph_chunks(related: DataFrame, chunks: DataFrame, per_file: int = 3) -> Da
     A file has the best score of its symbols; its chunks are the first `per_file` by how many of the ways end in a name that
     the chunk holds (case aside), those of none left out. rank, zero-based, is by score, file and chunk.
     """
-    names = related.groupBy("query_id", "file_path", F.lower("name").alias("name")).agg(F.count("*").alias("ways"), F.max("score").alias("best"))
+    # Files, pairs and what chunks name all start from the names: the ways to symbols are joined once.
+    names = saved(related.groupBy("query_id", "file_path", F.lower("name").alias("name")).agg(F.count("*").alias("ways"), F.max("score").alias("best")), "graph-names")
     files = names.groupBy("query_id", "file_path").agg(F.max("best").alias("score"))
     text = F.lower(F.concat_ws("\n", F.coalesce("breadcrumb", F.lit("")), F.coalesce("code", F.lit(""))))
     # Which names a chunk holds doesn't depend on the query: each pair of a file is tried once.
@@ -56,4 +58,5 @@ def graph_chunks(related: DataFrame, chunks: DataFrame, per_file: int = 3) -> Da
 
 def graph_recall(terms: DataFrame, symbols: DataFrame, edges: DataFrame, calls: DataFrame, chunks: DataFrame, top: int = 20, per_file: int = 3) -> DataFrame:
     """The whole way from terms to chunks; null terms, names and ends find nothing."""
-    return graph_chunks(related_symbols(matched_symbols(terms, symbols, top), edges, calls, symbols), chunks, per_file)
+    matched = saved(matched_symbols(terms, symbols, top), "graph-matched")
+    return graph_chunks(related_symbols(matched, edges, calls, symbols), chunks, per_file)

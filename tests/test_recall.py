@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
-from kelpline.operators.recall import graph_recall
+from kelpline.operators.recall import graph_chunks, graph_recall
 
 
 def walk(terms, symbols, edges, calls, chunks, top, per_file):
@@ -46,3 +46,11 @@ def test_graph_recall_against_a_walk(spark):
     for top, per_file in ((3, 2), (20, 3)):
         got = graph_recall(df(terms, "query_id int, term string"), df(symbols, "id string, name string, file_path string"), df(edges, "from_id string, to_id string"), df(calls, "caller_id string, target_id string"), df(chunks, "file_path string, chunk_index int, breadcrumb string, code string"), top, per_file)
         assert sorted((x.query_id, x.file_path, x.chunk_index, x.score, x.named) for x in got.collect()) == walk(terms, symbols, edges, calls, chunks, top, per_file)
+
+
+def test_the_ways_to_names_are_joined_once(spark):
+    related = spark.createDataFrame([(1, "Alpha", "f", 1.0), (1, "beta", "f", 0.8)], "query_id int, name string, file_path string, score double")
+    chunks = spark.createDataFrame([("f", 0, None, "alpha beta"), ("f", 1, None, "beta")], "file_path string, chunk_index int, breadcrumb string, code string")
+    got = graph_chunks(related, chunks)
+    assert sorted((r.chunk_index, r.named, r.score) for r in got.collect()) == [(0, 2, 1.0), (1, 1, 1.0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # of the chunks alone
