@@ -74,10 +74,19 @@ def find_members(requests: DataFrame, symbols: DataFrame) -> DataFrame:
     """requests(request_id, owner, member, file_path, language) -> (request_id, owner_id, member_id): at most one each.
 
     A method or function whose parent is the named owner; file_path and language bind where they are not null. Exported
-    owners go first, then files by name, then the earlier member.
+    owners go first, then files by name, then the earlier member. What a request can ask for (a name, in a file, in a
+    language, in both) has its one answer found once, so a request meets one row, not all owners of the name.
     """
     o = symbols.select(F.col("id").alias("owner_id"), F.col("name").alias("owner"), F.col("file_path").alias("file"), F.col("language").alias("lang"), F.col("exported").alias("open"))
     m = symbols.filter("type IN ('Method', 'Function') AND parent_id IS NOT NULL").select(F.col("id").alias("member_id"), F.col("name").alias("member"), F.col("parent_id").alias("owner_id"), "start_line")
-    found = requests.join(o, "owner").filter("(file_path IS NULL OR file_path = file) AND (language IS NULL OR language = lang)").join(m, ["owner_id", "member"])
-    order = Window.partitionBy("request_id").orderBy(F.col("open").desc(), "file", "start_line", "member_id")
-    return found.withColumn("n", F.row_number().over(order)).filter("n = 1").select("request_id", "owner_id", "member_id")
+    shut = F.when(F.col("open"), 0).when(~F.col("open"), 1).otherwise(2)
+    best = F.struct(shut.alias("shut"), "file", "start_line", "member_id", "owner_id")
+    asked = F.explode(F.array(*(F.struct(F.lit(f).alias("in_file"), F.lit(g).alias("in_lang")) for f in (False, True) for g in (False, True))))
+    bound = lambda flag, c: F.when(F.col(flag), F.col(c))
+    ways = o.join(m, "owner_id").select("owner", "member", "file", "lang", best.alias("best"), asked.alias("asked")).select("*", "asked.*")
+    ways = ways.filter("(NOT in_file OR file IS NOT NULL) AND (NOT in_lang OR lang IS NOT NULL)")
+    answers = ways.groupBy("owner", "member", bound("in_file", "file").alias("of_file"), bound("in_lang", "lang").alias("of_lang")).agg(F.min("best").alias("best"))
+    same = F.col("of_file").eqNullSafe(F.col("file_path")) & F.col("of_lang").eqNullSafe(F.col("language"))
+    r = requests.select("request_id", F.col("owner").alias("o"), F.col("member").alias("m"), "file_path", "language")
+    found = r.join(answers, (F.col("o") == F.col("owner")) & (F.col("m") == F.col("member")) & same)
+    return found.groupBy("request_id").agg(F.min("best").alias("best")).select("request_id", "best.owner_id", "best.member_id")

@@ -68,3 +68,19 @@ def test_cold_start_of_terms_that_most_files_hold(spark, joined):
     assert joined(got) < 3000
     best = sorted((r.query_id, r["rank"], r.path, r.score, r.token) for r in got.collect())
     assert best == [(q, k, f"src/{2 * k + q % 2:03}.ts", 10 if q % 2 else 25, "alpha") for q in range(30) for k in range(5)]
+
+
+def test_members_of_an_owner_name_that_many_share(spark, joined):
+    from kelpline.operators import members
+
+    n = 300
+    cols = "id string, name string, type string, file_path string, language string, exported boolean, parent_id string, start_line int"
+    rows = [(f"c{k}", "C", "Class", f"f{k}", "go" if k % 2 else "java", k == 7, None, 1) for k in range(n)]
+    rows += [(f"m{k}", "run", "Method", f"f{k}", "go" if k % 2 else "java", False, f"c{k}", 2) for k in range(n)]
+    asks = [(r, "C", "run", f"f{r}" if r % 3 == 0 else None, "java" if r % 2 else None) for r in range(n)]
+    got = members.find_members(spark.createDataFrame(asks, "request_id int, owner string, member string, file_path string, language string"), spark.createDataFrame(rows, cols))
+    assert joined(got) < 4 * n
+    found = {r.request_id: (r.owner_id, r.member_id) for r in got.collect()}
+    # No class of an odd number is in Java; the exported one goes first, else the first file.
+    want = {r: (r if r % 3 == 0 else 0 if r % 2 else 7) for r in range(n) if r % 6 != 3}
+    assert found == {r: (f"c{k}", f"m{k}") for r, k in want.items()}
