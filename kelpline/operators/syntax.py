@@ -265,6 +265,17 @@ def uses_of(tokens: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.filter(F.col("p2") == this).select("from_id", F.col("text").alias("name"), F.when(F.col("after") == "=", "write").otherwise("read").alias("mode")).distinct()
 
 
+def _found(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The code tokens of files and the symbols among them, both saved."""
+    tokens = _kept(token_table(files).filter("kind <> 'comment'").drop("start", "stop"), "tokens")
+    return tokens, _kept(symbols_of(tokens), "symbols")
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """The symbols of `extract` alone; nothing that relations need is made."""
+    return _found(files)[1]
+
+
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """files(path, language, content) -> (symbols, relations(from_id, to_id, type, confidence, reason)).
 
@@ -272,8 +283,7 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     and CALLS. Bases within the file are looked up for TypeScript and JavaScript only. A path stands for one file; other
     languages, null and empty sources have no rows.
     """
-    tokens = _kept(token_table(files).filter("kind <> 'comment'").drop("start", "stop"), "tokens")
-    symbols = _kept(symbols_of(tokens), "symbols")
+    tokens, symbols = _found(files)
     none = F.lit(None).cast("string")
     owners = symbols.select(F.col("id").alias("parent_id"), F.col("type").alias("owner_type"))
     has = symbols.filter("type IN ('Method', 'Variable')").join(owners, "parent_id").filter("owner_type = 'Class' OR (type = 'Variable' OR language = 'java') AND owner_type = 'Interface'")

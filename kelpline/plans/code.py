@@ -14,7 +14,7 @@ family = Family()
 
 @family.add("g11_symbols_of_sources", f"WITH {code.SOURCES} SELECT path, type, name, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, parent, exported FROM s")
 def g11_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = syntax.extract(code.sources(spark, sf_dir))
+    found = syntax.symbols(code.sources(spark, sf_dir))
     parent = F.when(F.col("parent_id").isNotNull(), F.split("parent_id", ":")[3])
     return found.select(F.col("file_path").alias("path"), "type", "name", "start_line", "end_line", parent.alias("parent"), "exported")
 

@@ -12,3 +12,12 @@ def test_tables_that_grow_with_the_sources_are_not_broadcast(spark):
     for df in (edges, syntax.symbols_of(tokens), syntax.calls_of(tokens, symbols), syntax.uses_of(tokens, symbols), syntax.heritage_of(tokens, symbols), syntax.imports_of(tokens)):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     assert {(r["type"], r["confidence"]) for r in edges.collect()} >= {("EXTENDS", 0.95), ("CALLS", 1.0), ("ACCESSES", 0.8), ("IMPORTS", 0.6)}
+
+
+def test_symbols_alone_make_nothing_of_the_relations(spark, monkeypatch):
+    from kelpline.plans import code
+
+    names, kept = [], syntax._kept
+    monkeypatch.setattr(syntax, "_kept", lambda df, name: names.append(name) or kept(df, name))
+    assert code.g11_symbols(spark, "/root/testdata/sf0.001").limit(1).count() == 1
+    assert names and not {"heritage", "imports", "uses", "calls"} & set(names)
