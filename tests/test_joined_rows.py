@@ -84,3 +84,15 @@ def test_members_of_an_owner_name_that_many_share(spark, joined):
     # No class of an odd number is in Java; the exported one goes first, else the first file.
     want = {r: (r if r % 3 == 0 else 0 if r % 2 else 7) for r in range(n) if r % 6 != 3}
     assert found == {r: (f"c{k}", f"m{k}") for r, k in want.items()}
+
+
+def test_the_last_step_of_an_impact_search_takes_sets_along(spark, joined):
+    from kelpline.operators import graph
+
+    seeds = spark.range(200).selectExpr("concat('s', id) AS seed")
+    edges = seeds.selectExpr("seed AS from_id", "'m' AS to_id", "'X' AS type").union(spark.range(50).selectExpr("'m'", "concat('n', id)", "'Y'"))
+    got = graph.impact(edges, seeds, 2)
+    assert joined(got) < 500
+    want = {(f"s{i}", "m", 1, "X") for i in range(200)} | {(f"s{i}", f"n{j}", 2, "Y") for i in range(200) for j in range(50)}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
