@@ -27,23 +27,25 @@ def _streams(tokens: DataFrame) -> DataFrame:
     """Code tokens with their neighbours p1..p3 and n1..n3 in the same bracket, the next body, semicolon and statement."""
     t = tokens.filter("kind <> 'comment'")
     by = Window.partitionBy("path", "up")
-    on, back = by.orderBy("i"), by.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    # Rows are sorted once each way: what lies behind is found while they hold one neighbour, the others last.
+    on, away = by.orderBy("i"), by.orderBy(F.desc("i"))
     near = F.struct("i", "kind", "text", "line", "end_line", "close")
-    t = t.select("*", *(F.lag(near, k).over(on).alias(f"p{k}") for k in (1, 2, 3)), *(F.lead(near, k).over(on).alias(f"n{k}") for k in (1, 2, 3)), F.max(F.greatest(F.col("i") + 1, "close")).over(by).alias("stream_end"))
+    t = t.select("*", F.lag(near, 1).over(on).alias("p1"))
     fresh = F.col("p1").isNull() | (F.col("line") > F.col("p1.end_line"))
     script = F.col("language").isin(*SCRIPT, "java")
     start = F.col("p1").isNull() | (F.col("p1.text") == ";") | F.when(script, (F.col("p1.kind") == "open") | F.col("p1.text").isin(*MODIFIERS) | (fresh & (F.col("p1.kind") != "punct"))).otherwise(fresh)
     t = t.withColumn("fresh", fresh).withColumn("starts", start)
+    begins = F.col("p1").isNull() | (F.col("p1.text") == ";") | (F.col("p1.kind") == "open") | (F.col("fresh") & (F.col("p1.kind") != "punct") & ~F.col("p1.text").startswith("@") & ~F.col("p1.text").isin(*MODIFIERS))
+    t = t.select("*", F.last(F.when(begins, F.col("line")), ignorenulls=True).over(on).alias("statement_line"), F.max(F.greatest(F.col("i") + 1, "close")).over(by).alias("stream_end"), F.max("end_line").over(by).alias("last_line"))
 
     def following(which: Column, what: Column) -> Column:
-        return F.last(F.when(which, what), ignorenulls=True).over(back)
+        return F.last(F.when(which, what), ignorenulls=True).over(away.rowsBetween(Window.unboundedPreceding, -1))
 
     opens = F.col("kind") == "open"
-    begins = F.col("p1").isNull() | (F.col("p1.text") == ";") | (F.col("p1.kind") == "open") | (F.col("fresh") & (F.col("p1.kind") != "punct") & ~F.col("p1.text").startswith("@") & ~F.col("p1.text").isin(*MODIFIERS))
     return t.select(
         "*", following(opens & F.col("text").isin("{", "INDENT"), F.struct("i", "close", "end_line")).alias("body"), following(opens & (F.col("text") == "("), F.struct("i", "close", "end_line")).alias("round"),
         following(F.col("text") == ";", F.col("i")).alias("semi"), following(F.col("fresh"), F.struct("i", F.col("p1.end_line").alias("before"))).alias("next_line"), following(F.col("starts"), F.struct("i", F.col("p1.end_line").alias("before"))).alias("next_start"),
-        F.max("end_line").over(by).alias("last_line"), F.last(F.when(begins, F.col("line")), ignorenulls=True).over(on).alias("statement_line"),
+        *(F.lead(near, k).over(away).alias(f"p{k}") for k in (2, 3)), *(F.lag(near, k).over(away).alias(f"n{k}") for k in (1, 2, 3)),
     )
 
 

@@ -21,3 +21,10 @@ def test_symbols_alone_make_nothing_of_the_relations(spark, monkeypatch):
     monkeypatch.setattr(syntax, "_kept", lambda df, name: names.append(name) or kept(df, name))
     assert code.g11_symbols(spark, "/root/testdata/sf0.001").limit(1).count() == 1
     assert names and not {"heritage", "imports", "uses", "calls"} & set(names)
+
+
+def test_token_streams_are_sorted_once_each_way(spark):
+    rows = [("a.ts", "typescript", 0, "word", "f", 1, 1, -1, "", -1)]
+    tokens = spark.createDataFrame(rows, "path string, language string, i int, kind string, text string, line int, end_line int, up int, around string, close int")
+    plan = syntax._streams(tokens)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Sort [") == 2
